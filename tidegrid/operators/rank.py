@@ -36,22 +36,36 @@ def numbered(df: DataFrame, order: list[str | Column], by: list[str] | None = No
     ).drop("_part", "_pos", "_first", "_before")
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Add the sum of ``value`` over all rows up to and including this one in ``order``."""
+def running_sum(df: DataFrame, order: list[str], value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Add the sum of ``value`` over all rows up to and including this one in ``order`` (per group)."""
+    by = by or []
+    keys = [*by, *order]
     placed = cut(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pos", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_pos", _ROW_BITS))
-    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_s"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    local = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = placed.groupBy("_part", *by).agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *by, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    local = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(offsets, "_part")
+        placed.join(offsets, ["_part", *by])
         .withColumn(name, F.col("_before") + F.sum(value).over(local))
         .drop("_part", "_pos", "_before")
     )
 
 
+def previous(df: DataFrame, order: list[str], columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Add ``seq`` and ``prev_<column>``: the row before this one in ``order`` (null on the first).
+
+    A lag that no single task carries: numbered rows are joined on (group, number), and those keys
+    spread evenly however large one group is.
+    """
+    by = by or []
+    seq = numbered(df, order, by, "seq")
+    prev = seq.select(*by, (F.col("seq") + 1).alias("seq"), *[F.col(c).alias(f"prev_{c}") for c in columns])
+    return seq.join(prev, [*by, "seq"], "left")
+
+
 def rank_scaled(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
     """Add ``r_<column>``: the unique rank of each value rescaled to [0, 1]; ties by ``tie``."""
     n = df.count()

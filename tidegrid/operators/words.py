@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.text import caption_words, has_caption, hashtags, stop_words
 from tidegrid.schema import TAG_LIMIT
+from tidegrid.session import cut
 
 
 def drop_stop_words(words: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def tag_similarity(posts: DataFrame, min_sim: float) -> DataFrame:
     only by the leading terms that are left when this bound falls below ``min_sim``. A tag that a third
     of all posts use is then a lookup key only for the few vectors in which it still matters.
     """
-    vecs = tag_vectors(posts)
+    vecs = cut(tag_vectors(posts))  # read four times below
     term = vecs.select("vec", F.explode("terms").alias("t")).select("vec", "t.tag", "t.w")
     freq = term.groupBy("tag").agg(F.count("*").alias("df"))
     longest = vecs.agg(F.max("length").alias("m")).first()["m"] or 0.0

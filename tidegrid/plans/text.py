@@ -9,7 +9,7 @@ from tidegrid.plans.registry import query
 from tidegrid.sources.tables import over_posts, posts, table
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
-WORDS_CTE = """w as (select unnest(string_split(replace(lower(text), '#', ' '), ' ')) as word from posts)"""
+WORDS_CTE = """w as materialized (select unnest(string_split(replace(lower(text), '#', ' '), ' ')) as word from posts)"""
 
 
 @query("word_count", over_posts(
@@ -21,7 +21,7 @@ def word_count(spark, d):
 
 @query("word_cloud", over_posts(
     "select word, count(*) as count from w where word <> '' group by 1",
-    r"w as (select unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) as word from posts)"))
+    r"w as materialized (select unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) as word from posts)"))
 def word_cloud(spark, d):
     return words.word_cloud(posts(spark, d).select("text"))
 
@@ -53,15 +53,15 @@ def cluster_hashtags(spark, d):
 @query("hashtag_cosine", over_posts(
     """select a.vec as vec_a, b.vec as vec_b, any_value(a.posts) as posts_a, any_value(b.posts) as posts_b,
               round(sum(a.w * b.w), 6) as sim
-       from w a join w b on a.tag = b.tag and a.vec <= b.vec group by a.vec, b.vec having sum(a.w * b.w) >= 0.34e0""",
-    """v as (select array_to_string(list_transform(list_sort(list_distinct(tags)),
+       from w a join w b on a.tag = b.tag and a.vec <= b.vec group by a.vec, b.vec having sum(a.w * b.w) >= 0.17e0""",
+    """v as materialized (select array_to_string(list_transform(list_sort(list_distinct(tags)),
                      lambda t: t || ':' || len(list_filter(tags, lambda x: x = t))), ' ') as vec,
                     any_value(tags) as tags, count(*) as posts
              from posts where len(tags) > 0 group by 1)""",
-    "t as (select vec, any_value(posts) as posts, tag, count(*) as tf from (select vec, posts, unnest(tags) as tag from v) group by vec, tag)",
-    "w as (select vec, posts, tag, tf / (1 + sqrt(sum(tf * tf) over (partition by vec))) as w from t)"))
+    "t as materialized (select vec, any_value(posts) as posts, tag, count(*) as tf from (select vec, posts, unnest(tags) as tag from v) group by vec, tag)",
+    "w as materialized (select vec, posts, tag, tf / (1 + sqrt(sum(tf * tf) over (partition by vec))) as w from t)"))
 def hashtag_cosine(spark, d):
-    sim = words.tag_similarity(posts(spark, d).select("text"), 0.34)
+    sim = words.tag_similarity(posts(spark, d).select("text"), 0.17)
     return sim.withColumn("sim", F.round("sim", 6))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,26 +122,37 @@ def zero_filled_days(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def day_distances(counts: DataFrame, key: str, day: str, days: list) -> DataFrame:
-    """Euclidean distance between the cell-count vectors of every two days.
+    """Euclidean distance between the cell-count vectors of every two days (one row per day pair).
 
-    The result has one row per day pair. Each cell becomes one array over the given days, which
-    yields the squared differences of that cell only; they are summed before the shuffle.
+    Each task adds up the products of its cells in one days x days matrix and emits it once, so the
+    shuffle carries day pairs only, however many cells there are.
     """
     wide = counts.groupBy(key).pivot(day, days).agg(F.sum("count"))
-    vec = F.array(*[F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("double") for d in days])
+    vec = F.array(*[F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("double") for d in days]).alias("v")
     n = len(days)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    base = wide.select(vec.alias("v"))
-    totals = base.agg(
-        *[F.sum(F.pow(F.col("v")[i] - F.col("v")[j], 2)).alias(f"p{i}_{j}") for i, j in pairs]
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(days[i]).alias("day_a"), F.lit(days[j]).alias("day_b"), F.sqrt(F.col(f"p{i}_{j}")).alias("distance"))
-            for i, j in pairs
-        ]
+
+    def products(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            if len(b):
+                m = np.stack(b["v"].to_numpy())
+                total += m.T @ m
+        i, j = np.triu_indices(n)
+        yield pd.DataFrame({"i": i, "j": j, "p": total[i, j]})
+
+    sums = wide.select(vec).mapInPandas(products, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("p"))
+    sums = cut(sums)
+    own = sums.where("i = j")
+    names = F.array(*[F.lit(d) for d in days])
+    return (
+        sums.where("i < j")
+        .join(own.select("i", F.col("p").alias("pi")), "i")
+        .join(own.select(F.col("i").alias("j"), F.col("p").alias("pj")), "j")
+        .select(
+            names[F.col("i")].alias("day_a"), names[F.col("j")].alias("day_b"),
+            F.sqrt(F.col("pi") + F.col("pj") - 2 * F.col("p")).alias("distance"),
+        )
     )
-    return totals.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def nest(df: DataFrame, outer: str, inner: str, **aggs: Column) -> DataFrame:

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from tidegrid.plans import grid, stats, text  # noqa: F401
+from tidegrid.plans import density, geo, graph, grid, stats, text  # noqa: F401
 from tidegrid.plans.registry import ORACLES, QUERIES  # noqa: F401

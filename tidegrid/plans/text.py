@@ -54,12 +54,10 @@ def cluster_hashtags(spark, d):
     """select a.vec as vec_a, b.vec as vec_b, any_value(a.posts) as posts_a, any_value(b.posts) as posts_b,
               round(sum(a.w * b.w), 6) as sim
        from w a join w b on a.tag = b.tag and a.vec <= b.vec group by a.vec, b.vec having sum(a.w * b.w) >= 0.17e0""",
-    """v as materialized (select array_to_string(list_transform(list_sort(list_distinct(tags)),
-                     lambda t: t || ':' || len(list_filter(tags, lambda x: x = t))), ' ') as vec,
-                    any_value(tags) as tags, count(*) as posts
-             from posts where len(tags) > 0 group by 1)""",
-    "t as materialized (select vec, any_value(posts) as posts, tag, count(*) as tf from (select vec, posts, unnest(tags) as tag from v) group by vec, tag)",
-    "w as materialized (select vec, posts, tag, tf / (1 + sqrt(sum(tf * tf) over (partition by vec))) as w from t)"))
+    "t0 as materialized (select id, tag, count(*) as tf from (select id, unnest(tags) as tag from posts) group by id, tag)",
+    "v0 as materialized (select id, string_agg(tag || ':' || tf, ' ' order by tag) as vec from t0 group by id)",
+    "v as (select vec, min(id) as id, count(*) as posts from v0 group by vec)",
+    "w as materialized (select vec, posts, tag, tf / (1 + sqrt(sum(tf * tf) over (partition by vec))) as w from v join t0 using (id))"))
 def hashtag_cosine(spark, d):
     sim = words.tag_similarity(posts(spark, d).select("text"), 0.17)
     return sim.withColumn("sim", F.round("sim", 6))

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import detect
+from tidegrid.functions import timeops
+from tidegrid.operators import detect, online
 from tidegrid.operators.rank import count_windows
 from tidegrid.plans.registry import query
+from tidegrid.schema import ONLINE_MEMORY, ONLINE_VOTE
 from tidegrid.sources.tables import over_points, over_posts, points, posts
 
 WINDOWS_CTE = (
@@ -61,3 +63,23 @@ def event_summary(spark, d):
     r = lambda c: F.round(c, 6)
     return ev.select("win", "cl", "posts", r("lat.min").alias("lat_min"), r("lat.max").alias("lat_max"),
                      r("lon.min").alias("lon_min"), r("lon.max").alias("lon_max"), tags.alias("tags"))
+
+
+@query("online_vote", over_points(
+    "select id, seq, n_close, coalesce(cl, 0) as cl from n left join lab using (seq)",
+    """s as materialized (select id, lat, lon, ntime, seq, stddev_samp(lat) over w as sx, stddev_samp(lon) over w as sy, stddev_samp(ntime) over w as st
+         from (select id, lat, lon, epoch_us(created_time) / 86400e6 as ntime, row_number() over (order by created_time, id) as seq from points)
+         window w as (order by seq rows between 2000 preceding and current row))""",
+    """c as materialized (select a.seq as p, b.seq as q from s a join s b on b.seq < a.seq and b.seq >= a.seq - 2000 where a.seq > 2000
+         and (exp(-(pow((a.lat - b.lat) / a.sx, 2) + pow((a.lon - b.lon) / a.sy, 2))) + exp(-pow((a.ntime - b.ntime) / a.st, 2))) / 2 > 0.95e0)""",
+    "n as materialized (select s.id, s.seq, coalesce(k.n, 0) as n_close from s left join (select p, count(*) as n from c group by 1) k on k.p = s.seq)",
+    "e as materialized (select p, q from c where p in (select seq from n where n_close > 30) and q in (select seq from n where n_close > 30))",
+    """op as materialized (select seq, cast(row_number() over (order by seq) as varchar) as cl from n
+         where n_close > 30 and seq not in (select p from e))""",
+    "reach as (select seq, cl from op union select e.p, r.cl from reach r join e on e.q = r.seq)",
+    "lab as (select seq, cast(max(cl) as bigint) as cl from reach group by seq)").replace("with ", "with recursive ", 1))
+def online_vote(spark, d):
+    """Every post votes against the 2000 posts before it."""
+    p = points(spark, d).select("id", "created_time", "lat", "lon", timeops.days("created_time").alias("ntime"))
+    v = ONLINE_VOTE
+    return online.online_votes(p, ["created_time", "id"], ["lat", "lon", "ntime"], ONLINE_MEMORY, v.sigma, v.close, v.dense)

@@ -31,7 +31,7 @@ def caption_words(text: Column | str) -> Column:
 
 def has_caption(text: Column | str) -> Column:
     c = F.col(text) if isinstance(text, str) else text
-    return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")) > 0
+    return F.coalesce(c.rlike(r"\S"), F.lit(False))
 
 
 def stop_words(df: DataFrame) -> DataFrame:

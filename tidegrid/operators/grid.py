@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import geo, timeops
 from tidegrid.schema import GRID_LIMIT, GRID_PRECISION, IMAGE_LIMIT, TRENDING_LIMIT, Box
+from tidegrid.session import cut
 
 
 def stamp(value: str) -> Column:
@@ -100,22 +101,25 @@ def feature_collection(counts: DataFrame, precision: int, limit: int = GRID_LIMI
     )
 
 
-def trending(df: DataFrame, term: str, unit: str = "hour", limit: int = TRENDING_LIMIT) -> DataFrame:
+def trending(
+    df: DataFrame, term: str, unit: str = "hour", limit: int = TRENDING_LIMIT, one_pass: bool = False
+) -> DataFrame:
     """The ``limit`` most frequent terms, each with its series.
 
-    Counts come first; only the survivors (``limit`` rows, so safe to broadcast) get a series.
+    Counts come first; only the survivors (``limit`` rows, so safe to broadcast) get a series. That reads
+    the posts twice but shuffles little. ``one_pass`` counts (term, time) once and is better where the
+    terms are costly to make, such as tags cut out of long texts.
     """
-    top = (
-        df.groupBy(term)
-        .agg(F.count("*").alias("total"))
-        .orderBy(F.desc("total"), term)
-        .limit(limit)
-    )
-    return (
-        df.join(F.broadcast(top), term)
-        .groupBy(term, "total", timeops.floor_time("created_time", unit).alias("bucket"))
-        .agg(F.count("*").alias("count"))
-    )
+    bucket = timeops.floor_time("created_time", unit).alias("bucket")
+    if one_pass:
+        fine = cut(df.groupBy(term, bucket).agg(F.count("*").alias("count")))
+        totals = fine.groupBy(term).agg(F.sum("count").alias("total"))
+    else:
+        totals = df.groupBy(term).agg(F.count("*").alias("total"))
+    top = F.broadcast(totals.orderBy(F.desc("total"), term).limit(limit))
+    if one_pass:
+        return fine.join(top, term).select(term, "total", "bucket", "count")
+    return df.join(top, term).groupBy(term, "total", bucket).agg(F.count("*").alias("count"))
 
 
 def recent(df: DataFrame, limit: int = IMAGE_LIMIT) -> DataFrame:

@@ -136,7 +136,7 @@ def trending_users(spark, d):
     "tagged as (select created_time, unnest(list_distinct(tags)) as tag from posts)"))
 def trending_tags(spark, d):
     p = posts(spark, d).select("created_time", F.explode(F.array_distinct(hashtags("text"))).alias("tag"))
-    return grid.trending(p, "tag")
+    return grid.trending(p, "tag", one_pass=True)
 
 
 @query("analyze_area", over_points(f"""

@@ -39,7 +39,7 @@ def online_density(
     """Add ``n_close`` and the trailing deviations to numbered rows (``seq`` from 1); the first ``memory`` rows are history."""
     names = [f"sd{i}" for i in range(len(dims))]
 
-    def per_group(key, g: pd.DataFrame) -> pd.DataFrame:
+    def per_group(key, g):
         g = g.sort_values("seq", ignore_index=True)
         seq, z = g["seq"].to_numpy(), g[dims].to_numpy()
         own = np.flatnonzero(g["block"].to_numpy() == key[0])
@@ -91,11 +91,11 @@ def online_votes(
             follows[start : start + _CHUNK] = _close(z, sd[at], at, sigma, close) & (gap >= 1) & (gap <= memory)
         return g, own, follows
 
-    def find_openers(key, g: pd.DataFrame) -> pd.DataFrame:
+    def find_openers(key, g):
         g, own, follows = links(g, key[0])
         return g.loc[own[~follows.any(axis=1)], ["seq"]]
 
-    def transfer(key, g: pd.DataFrame) -> pd.DataFrame:
+    def transfer(key, g):
         g, own, follows = links(g, key[0])
         if not len(own):
             return pd.DataFrame({c: pd.Series(dtype=object) for c in ("block", "seqs", "wide", "reach", "top")})

@@ -7,9 +7,9 @@ memory, and a repeated batch finds the log as it was before its first attempt.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegrid.operators import detect
 from tidegrid.operators.rank import numbered
@@ -18,6 +18,7 @@ from tidegrid.session import work_dir
 from tidegrid.streaming.upsert import run_batches
 
 _LOG = "id string, created_time timestamp_ntz, lat double, lon double, text string, seq bigint, batch bigint"
+_TOTALS = "total bigint, batch bigint"
 
 
 class WindowDetector:
@@ -26,29 +27,30 @@ class WindowDetector:
     def __init__(self, spark: SparkSession, size: int = WINDOW_ROWS, hop: int = HOP_ROWS, p: Detector = STREAM_DETECTOR):
         self.size, self.hop, self.p = size, hop, p
         self.log, self.out = work_dir(spark, "arrivals"), work_dir(spark, "events")
+        self.totals = work_dir(spark, "totals")
 
-    def _arrived(self, spark: SparkSession, before: int) -> DataFrame:
-        """The log of all batches before one; partition pruning skips the rest."""
+    def _before(self, spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:
+        """Rows that batches before one wrote; partition pruning skips the rest."""
         try:
-            return spark.read.schema(_LOG).parquet(self.log).where(F.col("batch") < before)
-        except Exception as e:  # the folder does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
+            return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # no batch has written yet
                 raise
-            return spark.createDataFrame([], T._parse_datatype_string(_LOG))
+            return spark.createDataFrame([], schema)
 
     def process(self, df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        # The largest number so far comes from the last non-empty batch's file statistics.
-        seen = self._arrived(spark, batch).agg(F.max("seq")).first()[0] or 0
+        # One row per earlier batch; the log itself is not read for this.
+        seen = self._before(spark, self.totals, _TOTALS, batch).agg(F.max("total")).first()[0] or 0
         new = numbered(df.select("id", "created_time", "lat", "lon", "text"), ["created_time", "id"], name="seq")
-        new = new.withColumn("seq", F.col("seq") + F.lit(seen))
-        new.write.mode("overwrite").parquet(f"{self.log}/batch={batch}")
-        total = spark.read.parquet(f"{self.log}/batch={batch}").agg(F.max("seq")).first()[0] or seen
+        new.withColumn("seq", F.col("seq") + F.lit(seen)).write.mode("overwrite").parquet(f"{self.log}/batch={batch}")
+        total = seen + spark.read.parquet(f"{self.log}/batch={batch}").count()
+        spark.createDataFrame([(total,)], "total bigint").write.mode("overwrite").parquet(f"{self.totals}/batch={batch}")
         first = max(seen // self.hop + 1, self.size // self.hop)
         last = total // self.hop
         if first > last:
             return
-        rows = self._arrived(spark, batch + 1).where(
+        rows = self._before(spark, self.log, _LOG, batch + 1).where(
             (F.col("seq") > first * self.hop - self.size) & (F.col("seq") <= last * self.hop)
         )
         a = F.greatest(F.ceil(F.col("seq") / F.lit(self.hop)).cast("bigint"), F.lit(first))

@@ -6,10 +6,10 @@ from tidegrid.functions import geo, timeops
 from tidegrid.functions.text import hashtags
 from tidegrid.operators import grid
 from tidegrid.plans.registry import query
-from tidegrid.schema import CITY_BOX, DAY_GRID_PRECISION, GRID_PRECISION, POST, REPLAY_SPEED, Box
+from tidegrid.schema import CITY_BOX, DAY_GRID_PRECISION, GRID_PRECISION, REPLAY_SPEED, Box
 from tidegrid.session import work_dir
 from tidegrid.sources import files
-from tidegrid.sources.tables import over_points, over_posts, place, points, posts, table
+from tidegrid.sources.tables import over_points, over_posts, points, posts, table
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 DATA_START, DATA_END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"

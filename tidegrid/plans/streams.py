@@ -1,6 +1,5 @@
 """Streaming queries: each runs a stream over the events table to its end and returns the resulting table."""
 
-
 from tidegrid.plans.grid import sql_geohash
 from tidegrid.plans.registry import query
 from tidegrid.plans.text import STOP_SQL, WORDS_CTE

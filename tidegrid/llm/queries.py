@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import mixing, sharding
+from tidegrid.llm import langid, mixing, secrets, sharding
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -24,3 +24,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.weighted(documents, table(spark, sf_dir, "labels"))
     return mixing.mix(rows, F.col("_quality")).select(
         "doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+
+
+@query("op3_secret_ownership")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_hyperdimensional_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    prototypes = langid.learn(documents.where(~langid.held_out()))
+    slim = documents.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(slim, prototypes).select("doc_id", "held_out", "lang_pred", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import langid, mixing, secrets, sharding
+from tidegrid.llm import decontaminate, langid, mixing, secrets, sharding
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -37,3 +37,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = langid.learn(documents.where(~langid.held_out()))
     slim = documents.select("doc_id", langid.held_out().alias("held_out"), "text")
     return langid.predict(slim, prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_string_tiling")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.cover(documents, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", F.col("hit_item").alias("item_id"), "coverage", "tiles")

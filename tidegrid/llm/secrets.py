@@ -108,10 +108,12 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", repo: str = "doc
         .groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     )
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    judged = found.join(owners, "h").where((F.col("kind") < 3) | (F.col("owners") == 1))
+    judged = found.join(owners, "h")
+    shown = (F.col("kind") < 3) | (F.col("owners") == 1)
     spans = judged.groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("s")))).alias("all"),
-        F.sum(F.when(F.col("kind") == 3, 1).otherwise(0)).alias("n_owned"),
+        F.array_sort(F.collect_list(F.when(
+            shown, F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("s"))))).alias("all"),
+        F.sum(F.when((F.col("kind") == 3) & (F.col("owners") == 1), 1).otherwise(0)).alias("n_owned"),
         F.sum(F.when((F.col("owners") == 1) & F.col("live"), 1).otherwise(0)).alias("n_specific"),
         F.sum(F.when(F.col("owners") >= copied_from, 1).otherwise(0)).alias("n_copied"))
     zero = F.lit(0).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, langid, mixing, secrets, sharding
+from tidegrid.llm import decontaminate, langid, mixing, ngram_join, secrets, sharding
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -44,3 +44,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.cover(documents, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "contaminated", F.col("hit_item").alias("item_id"), "coverage", "tiles")
+
+
+@query("op7_prefix_tree_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, langid, mixing, ngram_join, secrets, sharding
+from tidegrid.llm import decontaminate, langid, mixing, ngram_join, secrets, sharding, toxicity
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -20,10 +20,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_weighted_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixing.weighted(documents, table(spark, sf_dir, "labels"))
-    return mixing.mix(rows, F.col("_quality")).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+    weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weights).drop("copies", "_h")
 
 
 @query("op3_secret_ownership")
@@ -50,3 +48,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op6_factorization_machine")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    slim = documents.select("doc_id", toxicity.held_out().alias("held_out"), "text")
+    return toxicity.score(slim, model).select("doc_id", "held_out", "score", "predicted")

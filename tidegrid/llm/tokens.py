@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_LETTER = np.ones(256, dtype=bool)  # gaps when words are runs of letters; every byte above ASCII is a letter's
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -64,8 +66,8 @@ class Piece(NamedTuple):
     ends: np.ndarray
 
 
-def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[Piece]:
-    """The words of each row, piece by piece; null has none."""
+def pieces(column: pa.Array | pa.ChunkedArray, gaps: np.ndarray = _SPACE) -> Iterator[Piece]:
+    """The words of each row (runs without ``gaps``), piece by piece; null has none."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -81,18 +83,18 @@ def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[Piece]:
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, side="right")) - 1)
         to = min(to, n)
-        yield _piece(at, data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at])
+        yield _piece(at, data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at], gaps)
         at = to
 
 
-def _piece(first: int, raw: np.ndarray, offsets: np.ndarray) -> Piece:
+def _piece(first: int, raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> Piece:
     rows, n = len(offsets) - 1, len(raw)
     if not n:
         none = np.empty(0, dtype=np.int64)
         return Piece(first, rows, np.empty(0, dtype=_U), np.zeros(rows + 1, dtype=np.int64), none, none)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
-    gap = _SPACE[raw]
+    gap = gaps[raw]
     start = ~gap & edge[:n]
     start[1:] |= ~gap[1:] & gap[:-1]
     end = ~gap & edge[1:]

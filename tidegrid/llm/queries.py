@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, langid, mixing, ngram_join, secrets, sharding, toxicity
+from tidegrid.llm import decontaminate, langid, mixing, neighbours, ngram_join, secrets, sharding, toxicity
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -56,3 +56,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(documents, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     slim = documents.select("doc_id", toxicity.held_out().alias("held_out"), "text")
     return toxicity.score(slim, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_hilbert_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)

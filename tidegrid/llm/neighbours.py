@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import uniform
+from tidegrid.llm.common import stage, uniform
 from tidegrid.llm.tokens import scramble
 
 CURVES = 16
@@ -68,12 +68,13 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """Projections, grids and splitters, fixed by a seed and a sample."""
 
-    def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, blocks: int, curves: int = CURVES, axes: int = AXES,
+    def __init__(self, sample: np.ndarray, blocks: int, curves: int = CURVES, axes: int = AXES,
                  bits: int = BITS, seed: int = 23):
         rng = np.random.default_rng(seed)
         self.bits, self.blocks = bits, blocks
         dim = sample.shape[1]
         axes = min(axes, dim)
+        self.mark = rng.normal(size=dim)
         self.project = [np.linalg.qr(rng.normal(size=(dim, axes)))[0] for _ in range(curves)]
         self.shift = [rng.random(axes) * 0.5 for _ in range(curves)]
         spread = [sample @ p for p in self.project]
@@ -81,19 +82,19 @@ class Curves:
         self.span = [np.maximum(s.max(0) - s.min(0), 1e-12) for s in spread]
         self.cuts = []
         for c in range(curves):
-            order = np.sort(self._order(c, sample_ids, sample))
+            order = np.sort(self._order(c, sample))
             self.cuts.append(order[(np.arange(1, blocks) * len(order)) // blocks])
 
-    def _order(self, c: int, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-        """Hilbert key, then a hash of the id, so that equal keys are divisible."""
+    def _order(self, c: int, vectors: np.ndarray) -> np.ndarray:
+        """Hilbert key, then a hash of the vector: a crowded cell is divisible, equal vectors stay together."""
         unit = (vectors @ self.project[c] - self.low[c]) / self.span[c]
         top = 1 << self.bits
         cells = np.clip((unit * 0.5 + self.shift[c]) * top, 0, top - 1).astype(np.int64)
-        tie = (scramble(ids.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+        tie = (scramble((vectors * self.mark).sum(1).view(np.uint64)) >> np.uint64(40)).astype(np.int64)
         return (hilbert(cells, self.bits) << 24) | tie
 
-    def block(self, c: int, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.cuts[c], self._order(c, ids, vectors), side="right")
+    def block(self, c: int, vectors: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts[c], self._order(c, vectors), side="right")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -107,11 +108,11 @@ def _place(curves: Curves, dim: int, reach: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                ids, v = b["id"].to_numpy(), _matrix(b["v"], dim)
+                v = _matrix(b["v"], dim)
                 asked = b["query"].to_numpy(zero_copy_only=False).astype(bool)
                 offered = b["candidate"].to_numpy(zero_copy_only=False).astype(bool)
                 for c in range(len(curves.project)):
-                    block = curves.block(c, ids, v)
+                    block = curves.block(c, v)
                     take, where = [np.flatnonzero(offered)], [block[offered]]
                     for d in range(-reach, reach + 1):
                         near = block + d
@@ -209,23 +210,24 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", ve
             **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of the rows for which ``is_query`` (over ``id``) holds."""
     rows = usable(df, id, vector)
-    n = rows.count()
     first = Window.partitionBy("v").orderBy("id")
     marked = rows.withColumn("query", is_query).withColumn("nth", F.dense_rank().over(first))
     offered = marked.where(F.col("nth") <= k + 1).select("id", "v", F.lit(False).alias("query"), F.lit(True).alias("candidate"))
     asked = rows.where(is_query).select("id", "v", F.lit(True).alias("query"), F.lit(False).alias("candidate")).dropDuplicates(["id"])
     out = "query_id long, vec_id long, score double"
-    sample = rows.where(uniform("id", seed=29) < min(1.0, SAMPLE / max(n, 1))).orderBy("id").toPandas() if n else []
+    both = stage(offered.unionByName(asked), "neighbour-rows")
+    n = both.where("candidate").count()
+    sample = both.where("candidate").where(uniform("id", seed=29) < SAMPLE / max(n, 1)).select("v").toPandas()
     if not len(sample):
         found = df.sparkSession.createDataFrame([], out)
     else:
         vectors = np.array(sample["v"].tolist(), dtype=np.float64)
         blocks = int(max(BLOCKS, np.ceil(n / BLOCK_ROWS)))
-        curves = Curves(sample["id"].to_numpy(dtype=np.int64), vectors, blocks, **how)
+        curves = Curves(vectors, blocks, **how)
         reach = max(1, round((window * blocks - 1) / 2))
         dim = vectors.shape[1]
         kind = dict(rows.dtypes)["v"]
-        placed = offered.unionByName(asked).mapInArrow(_place(curves, dim, reach), f"curve int, block int, kind int, id long, v {kind}")
+        placed = both.mapInArrow(_place(curves, dim, reach), f"curve int, block int, kind int, id long, v {kind}")
         found = placed.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind").mapInArrow(_search(dim, k), out)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -31,7 +31,7 @@ from tidegrid.llm.tokens import scramble
 CURVES = 16
 AXES = 8  # dimensions of a projection
 BITS = 4  # grid steps per axis, as a power of two
-BLOCKS = 64  # of an ordering, at least
+BLOCKS = 64  # of an ordering; more where blocks would be too large, fewer for small tables
 BLOCK_ROWS = 50_000  # of a block, at most by expectation
 WINDOW = 0.08
 SAMPLE = 10_000  # vectors that fix grid and splitters, as expected number
@@ -222,7 +222,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", ve
         found = df.sparkSession.createDataFrame([], out)
     else:
         vectors = np.array(sample["v"].tolist(), dtype=np.float64)
-        blocks = int(max(BLOCKS, np.ceil(n / BLOCK_ROWS)))
+        # A block holds several times k rows, so few rows are all in one block.
+        blocks = int(max(1, min(BLOCKS, n // (4 * k)), np.ceil(n / BLOCK_ROWS)))
         curves = Curves(vectors, blocks, **how)
         reach = max(1, round((window * blocks - 1) / 2))
         dim = vectors.shape[1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, langid, mixing, neighbours, ngram_join, secrets, sharding, toxicity
+from tidegrid.llm import decontaminate, langid, mixing, neighbours, ngram_join, secrets, sharding, substrings, toxicity
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -61,3 +61,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hilbert_neighbours")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
+@query("op4_paragraph_banding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))

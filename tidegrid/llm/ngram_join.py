@@ -2,7 +2,8 @@
 
 1. Documents with equal sets are one class. Classes meet through prefixes: under one global order of
    shingles (those counted often in some batch last, by count; the others first, by hash) two sets with
-   similarity t share a shingle among the first n - ceil(t n) + 1 of each.
+   similarity t share l shingles among the first n - ceil(t n) + l of each, for any l. With l a twentieth of
+   the set, a class that shares fewer prefix shingles with all others together has no link and is left out.
 2. All classes that share a prefix shingle go to the block of the smallest of them. So any two classes that
    can be linked meet in some block, and a group of near copies makes a few blocks, not one per shingle.
 3. Each block is a trie of its sets, ordered by frequency in the block. A set is looked up by walking the
@@ -38,6 +39,11 @@ FREQUENT_KEPT = 200_000  # of these at most; the order of the others is by hash
 BLOCK = 256  # sets in one trie
 SENT_KEYS = 2_000_000  # class keys sent to all tasks at most; beyond that they are joined
 
+def _at_least(n):
+    """Shared prefix shingles that are asked of a set of ``n``; rises with ``n``."""
+    return n // 20 + 1
+
+
 # similarity >= 4/5, as integers: 9 * overlap >= 4 * (size + size)
 
 
@@ -95,14 +101,15 @@ def _prefixes(sent):
             seen: set[int] = set()
             for _, rows, h, bounds, sizes, key in _sets(b):
                 order = _place(h, frequent, place)
-                tokens, keys, lens = [], [], []
+                tokens, keys, lens, needs = [], [], [], []
                 for r in range(rows):
                     n, k = int(sizes[r]), int(key[r])
                     if not n or k in seen:
                         continue
                     seen.add(k)
                     mine, o = h[bounds[r]: bounds[r + 1]], order[bounds[r]: bounds[r + 1]]
-                    p = n - (4 * n + 4) // 5 + 1
+                    least = (4 * n + 4) // 5
+                    p = min(n, n - least + _at_least(n))
                     plain = mine[o == 0]
                     if len(plain) < p:
                         late = o > 0
@@ -110,9 +117,11 @@ def _prefixes(sent):
                     tokens.append(plain[:p])
                     keys.append(k)
                     lens.append(p)
+                    needs.append(_at_least(least))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [_i64(np.concatenate(tokens)), _i64(np.repeat(np.array(keys, dtype=np.uint64), lens))], names=["token", "f"])
+                        [_i64(np.concatenate(tokens)), _i64(np.repeat(np.array(keys, dtype=np.uint64), lens)),
+                         pa.array(np.repeat(np.array(needs, dtype=np.int32), lens))], names=["token", "f", "need"])
 
     return task
 
@@ -310,16 +319,26 @@ def _frequent(counts: DataFrame, kept: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], place[order]
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """(token, leader) of shingles that several classes hold; the leader is the smallest of them."""
+    ends = entries.groupBy("token").agg(F.min("f").alias("leader"), F.max("f").alias("last"))
+    return ends.where("leader < last").select("token", "leader")
+
+
 def links(df: DataFrame, counts: DataFrame, text: str = "text", block: int = BLOCK, frequent: int = FREQUENT_KEPT,
           sent_keys: int = SENT_KEYS) -> DataFrame:
     """Links (src, dst) of class keys: enough of them to connect all classes that links connect."""
     spark = df.sparkSession
     rows = df.select(F.col(text).alias("text"))
     order = spark.sparkContext.broadcast(_frequent(counts, frequent))
-    entries = stage(rows.mapInArrow(_prefixes(order), "token long, f long"), "shingle-prefixes")
-    shared = entries.groupBy("token").agg(F.min("f").alias("leader"), F.max("f").alias("last")).where("leader < last")
-    met = entries.join(shared.select("token", "leader"), "token").select("leader", "f").distinct()
-    met = stage(met, "shingle-blocks")
+    entries = stage(rows.mapInArrow(_prefixes(order), "token long, f long, need int"), "shingle-prefixes")
+    live = stage(entries.join(_shared(entries), "token").select("token", "leader", "f", "need"), "shingle-shared")
+    for _ in range(2):  # leaving classes out can leave others without partners
+        enough = live.groupBy("f").agg(F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("f")
+        live = stage(live.drop("leader").join(enough, "f", "left_semi"), "shingle-live")
+        live = live.join(_shared(live), "token").select("token", "leader", "f", "need")
+        live = stage(live, "shingle-live")
+    met = stage(live.select("leader", "f").distinct(), "shingle-blocks")
     keys = met.select("f").distinct()
     if keys.count() <= sent_keys:
         wanted = np.sort(keys.toPandas()["f"].to_numpy(dtype=np.int64))  # bounded by the check
@@ -381,3 +400,31 @@ def one_per_group(df: DataFrame, id: str = "doc_id", text: str = "text", **how)
     once = kept.join(again, kept[id].eqNullSafe(again["id"]) & (kept["_th"] == again["th"]), "left_anti")
     several = kept.join(again, kept[id].eqNullSafe(again["id"]) & (kept["_th"] == again["th"]), "left_semi")
     return once.unionByName(several.dropDuplicates([id, "_th"])).drop("_th")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(f, c): the component of every key that has a link."""
+    return _components(links)
+
+
+def linked_in_blocks(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links between the sets of each block; ``met`` has (leader, f), ``sets`` has (f, tokens)."""
+    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    blocks = met.join(parts, "leader").select(
+        "leader", "parts", "f", F.explode(F.when(F.col("f") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")))).alias("part"))
+    zero = F.lit(0).cast("long").alias("c")
+    found = stage(_links(blocks.select("leader", "part", F.lit(0).alias("probe"), "f", zero), sets), "shingle-links")
+    divided = blocks.where("parts > 1")
+    if divided.isEmpty():
+        return found
+    # Sets outside the largest component of a divided block still have to meet the block's other parts.
+    comps = _components(found)
+    divided = stage(divided.join(comps, "f", "left").withColumn("c", F.coalesce("c", "f")), "shingle-divided")
+    sizes = divided.groupBy("leader", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("leader").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = divided.join(main, "leader")
+    probes = open_.where("c <> main").select("leader", "parts", "f", "c").distinct().select(
+        "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "f", "c")
+    both = open_.select("leader", "part", F.lit(0).alias("probe"), "f", "c").unionByName(probes)
+    return stage(found.unionByName(_links(both, sets)), "shingle-links")

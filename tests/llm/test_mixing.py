@@ -49,20 +49,32 @@ def test_hot_source_and_rerun(spark):
     df = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.expr("repeat('word ', cast(1 + id % 40 as int))").alias("text"),
         F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).cast("string").alias("source"))
-    rows = mixing.mix(df, F.lit(1.0)).collect()
+    rows = mixing.mix(df).collect()
     check(rows, {r.doc_id: r.text for r in df.collect()})
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(3), F.lit(1.0)).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
 
 
 def test_heavier_documents_are_taken_more_often(spark):
     df = spark.range(6000).selectExpr("id as doc_id", "'a b c d' as text", "if(id < 3000, 'small', 'large') as source", "id % 2 as good")
-    rows = mixing.mix(df.where("source = 'large' or doc_id < 600"), F.when(F.col("good") == 1, 4.0).otherwise(1.0)).collect()
+    weights = df.select("doc_id", F.when(F.col("good") == 1, 4.0).otherwise(1.0).alias("weight"))
+    rows = mixing.mix(df.where("source = 'large' or doc_id < 600"), weights).collect()
     part = [r for r in rows if r.source == "large"]
     more = [r.doc_id % 2 for r in part if r.copies > r.epochs]
     assert 0.1 < len(more) / len(part) < 0.99 and sum(more) / len(more) > 0.55
 
 
 def test_odd_rows_and_empty_table(spark):
-    rows = mixing.mix(odd(spark), F.lit(None)).collect()
+    rows = mixing.mix(odd(spark)).collect()
     assert len(rows) == 10 and all(r.taken == 0 for r in rows if r.doc_id in (1, 2, 3))
-    assert mixing.mix(empty(spark), F.lit(1.0)).collect() == []
+    assert mixing.mix(empty(spark)).collect() == []
+
+
+def test_rows_are_repeated_as_often_as_taken(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    out = mixing.repeated(docs, None)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert got == {k: c for k, c in copies.items() if c}
+    assert mixing.repeated(odd(spark)).columns == odd(spark).columns
+    assert mixing.repeated(empty(spark)).collect() == []

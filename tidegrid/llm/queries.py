@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, langid, mixing, neighbours, ngram_join, secrets, sharding, substrings, toxicity
+from tidegrid.llm import decontaminate, htmltext, langid, mixing, neighbours, ngram_join, secrets, sharding, substrings, toxicity
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -66,3 +66,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_paragraph_banding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_layout_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", "visible_text", F.length("visible_text").alias("n_chars"))

@@ -33,9 +33,9 @@ from tidegrid.llm.tokens import Piece, distinct, pieces, scramble, shingles
 
 LINE_WORDS = 20
 BANDS, ROWS = 16, 4
-PART_WORDS = 8  # mean length of a part
-PART_LEAST = 4  # shorter parts are too common to tell anything
-RUN_WORDS = 30
+PART_WORDS = 6  # mean length of a part
+PART_LEAST = 3  # shorter parts are too common to tell anything
+RUN_WORDS = 24
 
 _A = scramble(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = scramble(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64))
@@ -65,6 +65,9 @@ def parts(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     cut = np.zeros(n + 1, dtype=bool)
     cut[1:n] = scramble(p.words[:-1] * np.uint64(3) + p.words[1:]) % np.uint64(PART_WORDS) == 0
+    fresh = np.flatnonzero(np.concatenate([[True], p.words[1:] != p.words[:-1]]))
+    within = np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))
+    cut[:n] |= (within > 0) & (within % PART_WORDS == 0)  # one word again and again
     cut[p.bounds] = True
     at = np.flatnonzero(cut)
     first, after = at[:-1], at[1:]

@@ -16,22 +16,22 @@ from tidegrid.operators.stats import quantiles
 from tidegrid.session import cut
 
 
-def grid_density(df: DataFrame, dims: list[str], side: int, bandwidth: float, radius: int = 3) -> DataFrame:
-    """Kernel density on a ``side``-cube grid over columns in [0, 1]: (g0, g1, .., density), cells near data only.
+def grid_density(df: DataFrame, dims: list[str], side: int, bandwidth: float) -> DataFrame:
+    """Kernel density on a ``side``-cube grid over columns in [0, 1]: (g0, g1, .., density), every cell reached.
 
-    Points are counted per cell first, so the kernel is spread from occupied cells, at most ``side^d`` of
-    them, and not from points. ``bandwidth`` is in cells; the kernel is cut off after ``radius`` cells.
+    Points are counted per cell first. The kernel is a product over axes, so it is spread one axis at a
+    time over all ``side`` cells of that axis, and no part of it is cut off. ``bandwidth`` is in cells.
     """
-    bins = [equal_bin(F.col(d), F.lit(0.0), F.lit(1.0), side).alias(f"b{i}") for i, d in enumerate(dims)]
+    keys = [f"g{i}" for i in range(len(dims))]
+    bins = [equal_bin(F.col(d), F.lit(0.0), F.lit(1.0), side).alias(k) for d, k in zip(dims, keys)]
     n = df.agg(F.count("*").alias("_all"))
-    spread = df.groupBy(*bins).agg(F.count("*").alias("n")).join(F.broadcast(n))
-    dist = F.lit(0)
-    for i in range(len(dims)):
-        b = F.col(f"b{i}")
-        spread = spread.withColumn(f"g{i}", F.explode(F.sequence(F.greatest(b - radius, F.lit(0)), F.least(b + radius, F.lit(side - 1)))))
-        dist = dist + (F.col(f"g{i}") - b) * (F.col(f"g{i}") - b)
-    w = F.exp(dist.cast("double") / F.lit(-2.0 * bandwidth * bandwidth))
-    return spread.groupBy(*[f"g{i}" for i in range(len(dims))]).agg(F.sum(F.col("n") * w / F.col("_all")).alias("density"))
+    mass = df.groupBy(*bins).agg(F.count("*").alias("n")).join(F.broadcast(n)).select(*keys, (F.col("n") / F.col("_all")).alias("density"))
+    for k in keys:
+        spread = mass.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(side - 1).cast("bigint"))))
+        gap = (F.col("_to") - F.col(k)).cast("double")
+        w = F.exp(gap * gap / F.lit(-2.0 * bandwidth * bandwidth))
+        mass = spread.withColumn("_m", F.col("density") * w).drop(k).withColumnRenamed("_to", k).groupBy(*keys).agg(F.sum("_m").alias("density"))
+    return mass
 
 
 def densest_cells(density: DataFrame, dims: int, side: int, share: float) -> DataFrame:
@@ -49,10 +49,10 @@ def _features(df: DataFrame, dims: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=dims, outputCol="features").transform(df)
 
 
-def sample_kmeans(df: DataFrame, dims: list[str], key: str, k: int = 4, size: int = 100, seed: int = 1) -> DataFrame:
-    """k-means on a repeatable random sample of ``size`` rows; all rows are assigned to the found centres."""
+def sample_kmeans(df: DataFrame, dims: list[str], key: str, k: int = 4, size: int | None = None, seed: int = 1) -> DataFrame:
+    """k-means on all rows, or on a repeatable random sample of ``size``; all rows get one of the found centres."""
     f = _features(df, dims)
-    sample = f.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    sample = f if size is None else f.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
     model = KMeans(k=k, seed=seed).fit(sample)
     return model.transform(f).withColumnRenamed("prediction", "cl").drop("features")
 

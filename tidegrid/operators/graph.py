@@ -27,10 +27,23 @@ def group_sizes(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.count("*").alias("nodes"))
 
 
+def adjacency_cells(nodes: DataFrame, edges: DataFrame, order: list[str]) -> DataFrame:
+    """Square matrix as a tall table (src, dst, value): every pair of nodes, 0 without an edge.
+
+    Where an edge is listed more than once, the last one in ``order`` counts. Ends of edges that the node
+    table lacks are nodes too. All pairs are the result that is asked for here.
+    """
+    last = edges.groupBy("src", "dst").agg(F.max_by("value", F.struct(*order)).alias("value"))
+    ids = nodes.select(F.col("id").alias("src")).union(edges.select("src")).union(edges.select("dst")).distinct()
+    full = ids.crossJoin(ids.select(F.col("src").alias("dst")))
+    return full.join(last, ["src", "dst"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast(dict(last.dtypes)["value"])))
+
+
 def adjacency(edges: DataFrame, order: list[str], ids: list) -> DataFrame:
-    """Square matrix as a table: one row per source, one column per target, 0 without an edge.
+    """The matrix of some named nodes as a table: one row per source, one column per target, 0 without an edge.
 
-    Where an edge is listed more than once, the last one in ``order`` counts.
+    Where an edge is listed more than once, the last one in ``order`` counts. Edges of other nodes are no
+    part of it; :func:`adjacency_cells` has them all.
     """
     last = edges.groupBy("src", "dst").agg(F.max_by("value", F.struct(*order)).alias("value"))
     wide = last.groupBy("src").pivot("dst", ids).agg(F.sum("value"))
@@ -67,22 +80,24 @@ def node_flow(edges: DataFrame) -> DataFrame:
     return sums.select("node", "out", "in", F.greatest("out", "in").alias("value"))
 
 
-def node_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000, sinks_right: bool = False) -> DataFrame:
+def node_levels(nodes: DataFrame, edges: DataFrame, max_levels: int | None = None, sinks_right: bool = False) -> DataFrame:
     """Level of each node: length of the longest path that ends in it. A cycle is an error.
 
-    Each round moves the set of nodes that some path of the current length reaches.
+    Each round moves the set of nodes that some path of the current length reaches. Without a cycle no path
+    has as many steps as there are nodes.
     """
+    most = max_levels or nodes.count()
     arcs = cut(edges.select("src", "dst").distinct())
     levels = nodes.select(F.col("id").alias("node"), F.lit(0).cast("bigint").alias("level"))
     front = nodes.select(F.col("id").alias("node"))
     found = [levels]
-    for k in range(1, max_levels + 1):
+    for k in range(1, most + 1):
         front = cut(front.join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
         if front.isEmpty():
             break
         found.append(front.select("node", F.lit(k).cast("bigint").alias("level")))
     else:
-        raise ValueError("the graph has a cycle or a path longer than max_levels")
+        raise ValueError("the graph has a cycle")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -95,9 +110,11 @@ def node_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000, sink
     return out
 
 
-def tree_totals(tree: DataFrame, max_depth: int = 1000) -> DataFrame:
+def tree_totals(tree: DataFrame) -> DataFrame:
     """Depth and subtree total of every node of a forest (id, parent, value); roots have a null parent.
 
+    Nodes below a parent that the table lacks are kept, with a null depth. A cycle is an error.
+
     Totals move one level up per round and are summed per parent before they move again. Depths move down.
     """
     tree = cut(tree.select("id", "parent", "value"))
@@ -105,7 +122,7 @@ def tree_totals(tree: DataFrame, max_depth: int = 1000) -> DataFrame:
     total = tree.select("id", F.col("value").alias("v"))
     part, depth = total, tree.where("parent is null").select("id", F.lit(0).cast("bigint").alias("depth"))
     layer = depth
-    for _ in range(max_depth):
+    for _ in range(tree.count() + 1):  # no path of a forest is longer
         part = cut(part.join(link, "id").groupBy(F.col("parent").alias("id")).agg(F.sum("v").alias("v")))
         layer = cut(link.join(layer.withColumnRenamed("id", "parent"), "parent").select("id", (F.col("depth") + 1).alias("depth")))
         if part.isEmpty() and layer.isEmpty():
@@ -113,9 +130,9 @@ def tree_totals(tree: DataFrame, max_depth: int = 1000) -> DataFrame:
         total = total.unionByName(part)
         depth = depth.unionByName(layer)
     else:
-        raise ValueError("the tree is deeper than max_depth or has a cycle")
+        raise ValueError("the tree has a cycle")
     total = total.groupBy("id").agg(F.sum("v").alias("total"))
-    return tree.join(depth, "id").join(total, "id").select("id", "parent", "depth", "value", "total")
+    return tree.join(depth, "id", "left").join(total, "id").select("id", "parent", "depth", "value", "total")
 
 
 def tree_shares(totals: DataFrame) -> DataFrame:
@@ -153,7 +170,7 @@ def chord_groups(edges: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(whole)).select("node", "value", (F.col("value") / F.col("_all")).alias("share"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node of each node's component, by alternating star contraction.
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest node it
@@ -168,7 +185,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = hook(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = large.where("u <> v").distinct()
@@ -179,8 +196,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     root = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(root, nodes["id"] == root["u"], "left").select(
         "id", F.coalesce("component", "id").alias("component")

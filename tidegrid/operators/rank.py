@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,13 @@ from tidegrid.session import cut
 _ROW_BITS = 33  # row number bits of monotonically_increasing_id
 
 
+def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, where null equals null, so that rows of a null group keep their group."""
+    there = b.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return a.join(there, same, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def numbered(df: DataFrame, order: list[str | Column], by: list[str] | None = None, name: str = "rn") -> DataFrame:
     """Add the 1-based row number over ``order`` (per ``by`` group), spread over all partitions.
 
@@ -31,7 +41,7 @@ def numbered(df: DataFrame, order: list[str | Column], by: list[str] | None = No
     offsets = sizes.select(
         "_part", *by, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    return placed.join(offsets, ["_part", *by]).withColumn(
+    return join_on(placed, offsets, ["_part", *by]).withColumn(
         name, F.col("_before") + F.col("_pos") - F.col("_first") + 1
     ).drop("_part", "_pos", "_first", "_before")
 
@@ -48,7 +58,7 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str, by: list
     offsets = sizes.select("_part", *by, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(offsets, ["_part", *by])
+        join_on(placed, offsets, ["_part", *by])
         .withColumn(name, F.col("_before") + F.sum(value).over(local))
         .drop("_part", "_pos", "_before")
     )
@@ -63,7 +73,7 @@ def previous(df: DataFrame, order: list[str], columns: list[str], by: list[str]
     by = by or []
     seq = numbered(df, order, by, "seq")
     prev = seq.select(*by, (F.col("seq") + 1).alias("seq"), *[F.col(c).alias(f"prev_{c}") for c in columns])
-    return seq.join(prev, [*by, "seq"], "left")
+    return join_on(seq, prev, [*by, "seq"], "left")
 
 
 def rank_scaled(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
@@ -95,7 +105,7 @@ def standardised(df: DataFrame, columns: list[str], by: list[str] | None = None)
     stats = df.groupBy(*by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_d_{c}") for c in columns]
     )
-    out = df.join(stats, by) if by else df.join(F.broadcast(stats))
+    out = join_on(df, stats, by) if by else df.join(F.broadcast(stats))
     for c in columns:
         d = F.col(f"_d_{c}")
         out = out.withColumn(
@@ -173,7 +183,7 @@ def count_windows(df: DataFrame, order: list[str], size: int, hop: int, by: list
         raise ValueError("the window must be a whole number of hops")
     seq = numbered(df, order, by, "seq")
     total = seq.groupBy(*by).agg(F.max("seq").alias("_total"))
-    seq = seq.join(total, by) if by else seq.join(F.broadcast(total))
+    seq = join_on(seq, total, by) if by else seq.join(F.broadcast(total))
     per = size // hop
     first = F.greatest(F.ceil(F.col("seq") / F.lit(hop)).cast("bigint"), F.lit(per))
     last = F.least(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.binning import equal_bin, sturges
-from tidegrid.operators.rank import numbered, previous, running_sum
+from tidegrid.operators.rank import join_on, previous, running_sum
 from tidegrid.session import cut
 
 
@@ -39,7 +39,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     merged = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     ranked = running_sum(merged, [value], "_c", "_end", by)
     n = merged.groupBy(*by).agg(F.sum("_c").alias("n"))
-    ranked = ranked.join(n, by) if by else ranked.join(F.broadcast(n))  # without groups: one row
+    ranked = join_on(ranked, n, by) if by else ranked.join(F.broadcast(n))  # without groups: one row
 
     def at(index: Column) -> Column:
         holds = (index >= F.col("_end") - F.col("_c")) & (index < F.col("_end"))
@@ -166,22 +166,33 @@ def pairs(df: DataFrame, order: list[str], columns: list[str], by: list[str] | N
     return previous(df, order, columns, by).where("seq > 1")
 
 
-def transpose(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
-    """Turn a tall table into one with the named values of ``column`` as columns."""
+def transpose(df: DataFrame, row: str, column: str, value: str, columns: list | None = None) -> DataFrame:
+    """Turn a tall table into one with the values of ``column`` as columns: all that occur, or those named.
+
+    A table has a limited width; Spark refuses more than ``spark.sql.pivotMaxValues`` columns.
+    """
     return df.groupBy(row).pivot(column, columns).agg(F.sum(value)).na.fill(0)
 
 
+def permute(df: DataFrame, places: DataFrame, place: str = "place") -> DataFrame:
+    """Row numbers of ``df`` (column ``place``, from 0) taken in the order of ``places`` (``to``, ``place``)."""
+    return places.join(df, place).select("to", *[c for c in df.columns if c != place])
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """A repeatable random order."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
-def stacked(series: DataFrame, x: str, name: str, value: str, names: list[str], offset: str = "zero") -> DataFrame:
+def stacked(series: DataFrame, x: str, name: str, value: str, names: list[str] | None = None, offset: str = "zero") -> DataFrame:
     """Stacked series: each value with its base line ``y0`` for one of four offsets.
 
     ``zero`` starts at 0, ``expand`` scales every column to 1, ``silhouette`` centres the columns and
-    ``wiggle`` keeps the weighted slope of the layers small. Missing points count as 0.
+    ``wiggle`` keeps the weighted slope of the layers small. Missing points count as 0. Layers are all
+    names that occur, in order, unless given; like any pivot they are limited in number.
     """
+    if names is None:
+        names = [r[name] for r in series.where(F.col(name).isNotNull()).select(name).distinct().orderBy(name).collect()]
     wide = series.groupBy(x).pivot(name, names).agg(F.sum(value)).na.fill(0)
     entry = F.array(
         *[F.struct(F.lit(i).alias("i"), F.lit(n).alias(name), F.col(f"`{n}`").cast("double").alias("y")) for i, n in enumerate(names)]
@@ -242,7 +253,7 @@ def box_stats(df: DataFrame, value: str, by: list[str], whisker: float | None =
     ``whisker`` interquartile ranges of the quartiles.
     """
     q = quantiles(df, value, [0.25, 0.5, 0.75], by)
-    v = df.join(q, by)  # one row per group
+    v = join_on(df, q, by)  # one row per group
     lo, hi = F.lit(float("-inf")), F.lit(float("inf"))
     if whisker is not None:
         reach = (F.col("q2") - F.col("q0")) * F.lit(float(whisker))
@@ -256,14 +267,17 @@ def box_stats(df: DataFrame, value: str, by: list[str], whisker: float | None =
 
 def qq_pairs(df: DataFrame, value: str, sample: str, first: str, second: str, n: int) -> DataFrame:
     """``n`` matching order statistics of two samples: positions trunc(i * (size - 1) / n)."""
-    both = df.where(F.col(sample).isin(first, second)).select(sample, value)
-    placed = numbered(both, [value], [sample], "_rn")
-    sizes = placed.groupBy(sample).agg(F.max("_rn").alias("_m"))
+    # Equal values are merged first, so a value with very many copies is one row.
+    merged = df.where(F.col(sample).isin(first, second)).groupBy(sample, value).agg(F.count("*").alias("_c"))
+    placed = running_sum(merged, [value], "_c", "_end", [sample])
+    sizes = placed.groupBy(sample).agg(F.max("_end").alias("_m"))
     wanted = sizes.select(
         sample, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
             i.alias("i"), (F.floor(i * (F.col("_m") - 1) / F.lit(n)) + 1).alias("rn")))).alias("w")
     ).select(sample, F.col("w.i").alias("i"), F.col("w.rn").alias("_rn"))
-    hit = placed.join(F.broadcast(wanted), [sample, "_rn"])  # 2 * n rows
+    wanted = F.broadcast(wanted.withColumnRenamed(sample, "_of"))  # 2 * n rows
+    holds = (F.col("_rn") <= F.col("_end")) & (F.col("_rn") > F.col("_end") - F.col("_c"))
+    hit = placed.join(wanted, (F.col(sample) == F.col("_of")) & holds)
     return hit.groupBy("i").agg(
         F.max(F.when(F.col(sample) == first, F.col(value))).alias("x"),
         F.max(F.when(F.col(sample) == second, F.col(value))).alias("y"),

@@ -19,7 +19,7 @@ from tidegrid.sources.tables import over_points, points, table
     "g as (select unnest(generate_series(0, 19)) as g)",
     """f as materialized (select x.g as g0, y.g as g1, z.g as g2,
          coalesce(sum(n / total * exp(-(pow(x.g - b0, 2) + pow(y.g - b1, 2) + pow(z.g - b2, 2)) / 2)), 0) as v
-         from g x cross join g y cross join g z left join n on abs(x.g - b0) <= 3 and abs(y.g - b1) <= 3 and abs(z.g - b2) <= 3 group by 1, 2, 3)"""))
+         from g x cross join g y cross join g z left join n on true group by 1, 2, 3)"""))
 def grid_kde(spark, d):
     p = points(spark, d).select("id", "lat", "lon", timeops.seconds("created_time").alias("time"))
     p = scaled_min_max(rank_scaled(p, ["lat", "lon"], "id"), ["time"])

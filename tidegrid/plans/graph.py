@@ -42,9 +42,8 @@ def pivot_graph(spark, d):
     select a.n_nationkey as src, b.n_nationkey as dst, coalesce(value, 0) as value
     from nation a cross join nation b left join last on last.src = a.n_nationkey and last.dst = b.n_nationkey""")
 def adjacency(spark, d):
-    ids = list(range(25))  # the fixed nation keys
-    m = graph.adjacency(nation_flows(spark, d), ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "value"], ids)
-    return graph.matrix_to_edges(m, ids)
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
+    return graph.adjacency_cells(nations, nation_flows(spark, d), ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "value"])
 
 
 @query("edge_lists", f"""with {FLOWS}, e as (select src, dst, sum(value) as value from flows group by 1, 2)

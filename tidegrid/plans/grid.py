@@ -186,11 +186,12 @@ def square_grid(spark, d):
     "left join counts c on c.cell = s.cell and c.bucket = s.bucket",
     f"counts as (select {sql_geohash(6)} as cell, date_trunc('day', created_time) as bucket, count(*) as n from points group by 1, 2)",
     "spots as (select c.cell, d.bucket from (select distinct cell from counts) c, "
-    "(select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30', interval 1 day)) as bucket) d)"))
+    "(select unnest(generate_series(a, b, interval 1 day)) as bucket from (select min(bucket) as a, max(bucket) as b from counts)) d)"))
 def cell_at_time(spark, d):
     counts = grid.cells_by_day(points(spark, d), GRID_PRECISION).withColumnRenamed("day", "bucket")
-    days = F.sequence(grid.stamp(DATA_START), grid.stamp("2024-01-30"), F.expr("interval 1 day"))
-    spots = counts.select("cell").distinct().select("cell", F.explode(days).alias("bucket"))
+    span = counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))  # one row: every day of the data
+    days = F.sequence("a", "b", F.expr("interval 1 day"))
+    spots = counts.select("cell").distinct().join(F.broadcast(span)).select("cell", F.explode(days).alias("bucket"))
     return grid.cell_at_time(counts, spots)
 
 

@@ -170,7 +170,7 @@ def day_distance(spark, d):
     f"count(*) filter (where event_type = '{t}') as {t}" for t in TYPES) + " from events group by 1")
 def pivot_transpose(spark, d):
     counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return stats.transpose(counts, "user_id", "event_type", "n", TYPES)
+    return stats.transpose(counts, "user_id", "event_type", "n")
 
 
 @query("consecutive_pairs", """
@@ -212,7 +212,7 @@ def stack_offsets(spark, d):
     day = timeops.floor_time("ts", "day")
     n = table(spark, d, "events").groupBy(day.alias("day"), "event_type").agg(F.count("*").alias("y"))
     parts = [
-        stats.stacked(n, "day", "event_type", "y", TYPES, kind).withColumn("kind", F.lit(kind))
+        stats.stacked(n, "day", "event_type", "y", None, kind).withColumn("kind", F.lit(kind))
         for kind in ("zero", "expand", "silhouette", "wiggle")
     ]
     out = parts[0]

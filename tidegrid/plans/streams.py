@@ -15,9 +15,10 @@ def event_stream(spark, d):
 @query("stream_word_count", over_posts(
     f"select word, count(*) as count from w where word <> '' and word not in {STOP_SQL} group by 1 having count(*) > 1", WORDS_CTE))
 def stream_word_count(spark, d):
-    """The table is one file, hence one micro-batch; counts are per batch."""
+    """Counts per batch, added up over all batches before rare words are left out."""
     posts = caption(event_stream(spark, d), table(spark, d, "documents"))
-    return live.batch_word_counts(posts.select("text")).select("word", "count")
+    total = live.running_word_counts(live.batch_word_counts(posts.select("text"), min_count=1))
+    return total.where("count > 1").select("word", "count")
 
 
 @query("sliding_grid", over_points(

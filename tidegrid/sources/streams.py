@@ -17,12 +17,14 @@ EVENTS_SCHEMA = (
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A folder of parquet files as a stream."""
+    """A table as a stream, be it one file or a folder of part files.
+
+    The path is a pattern that only matches itself: a file stream takes one file only by a pattern.
+    """
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(sf_dir)
+        .parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
     )
 
 
@@ -30,8 +32,11 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def kafka_stream(spark: SparkSession, servers: str, topics: list[str], start: str = "latest", **options: str) -> DataFrame:
-    """Messages of one or more topics as (topic, value, timestamp). Needs the Kafka connector on the class path."""
+def kafka_stream(spark: SparkSession, servers: str, topics: list[str], start: str = "earliest", **options: str) -> DataFrame:
+    """Messages of one or more topics as (topic, value, timestamp). Needs the Kafka connector on the class path.
+
+    ``start`` only counts for a query without offsets; with its offsets folder kept it goes on where it stopped.
+    """
     r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
     r = r.option("startingOffsets", start)
     for k, v in options.items():
@@ -53,12 +58,15 @@ def to_messages(df: DataFrame, topic: str) -> DataFrame:
     return df.select(F.lit(topic).alias("topic"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def kafka_sink(messages: DataFrame, servers: str, name: str) -> StreamingQuery:
-    """Write (topic, value) rows; one pooled producer per executor, retries left to the client."""
+def kafka_sink(messages: DataFrame, servers: str, name: str, offsets: str | None = None) -> StreamingQuery:
+    """Write (topic, value) rows; one pooled producer per executor, retries left to the client.
+
+    Give the same ``offsets`` folder after a restart to go on where the query stopped.
+    """
     return (
         messages.writeStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
-        .option("checkpointLocation", work_dir(messages.sparkSession, f"offsets-{name}"))
+        .option("checkpointLocation", offsets or work_dir(messages.sparkSession, f"offsets-{name}"))
         .start()
     )
 
@@ -69,12 +77,15 @@ def console_sink(df: DataFrame, rows: int = 10) -> StreamingQuery:
 
 
 def forward(messages: DataFrame, topics: list[str], out: str) -> list[StreamingQuery]:
-    """One query per topic, each writing its readable messages to a folder of JSON lines."""
+    """One query per topic, each writing its readable messages to a folder of JSON lines.
+
+    Offsets lie beside the output, so a restart with the same ``out`` writes nothing twice.
+    """
     started = []
     for t in topics:
         good = messages.where((F.col("topic") == t) & F.try_parse_json("value").isNotNull()).select("value")
         started.append(
             good.writeStream.format("text").option("path", f"{out}/{t}")
-            .option("checkpointLocation", work_dir(messages.sparkSession, f"offsets-{t}")).trigger(availableNow=True).start()
+            .option("checkpointLocation", f"{out}/_offsets/{t}").trigger(availableNow=True).start()
         )
     return started

@@ -12,16 +12,18 @@ from tidegrid.session import work_dir
 from tidegrid.streaming.upsert import batch_writer, latest, run_batches
 
 
-def _timed(posts: DataFrame, delay: str) -> DataFrame:
-    """Event time with zone and a watermark; later rows than ``delay`` are left out of open windows."""
-    return posts.withColumn("event_time", F.col("created_time").cast("timestamp")).withWatermark("event_time", delay)
+def _timed(posts: DataFrame, delay: str | None) -> DataFrame:
+    """Event time with zone. With a ``delay``, rows that come later than it are left out and old state is freed;
+    without one every row counts, in whatever order files come, which is what a replay of a table needs."""
+    timed = posts.withColumn("event_time", F.col("created_time").cast("timestamp"))
+    return timed.withWatermark("event_time", delay) if delay else timed
 
 
-def batch_word_counts(posts: DataFrame) -> DataFrame:
+def batch_word_counts(posts: DataFrame, min_count: int = 2) -> DataFrame:
     """Word counts of each micro-batch on its own, without state: (batch, word, count)."""
     out = work_dir(posts.sparkSession, "words")
     write = batch_writer(out)
-    run_batches(posts, "words", lambda df, b: write(words.word_count(df), b))
+    run_batches(posts, "words", lambda df, b: write(words.word_count(df, min_count=min_count), b))
     return posts.sparkSession.read.parquet(out)
 
 
@@ -30,7 +32,7 @@ def running_word_counts(batches: DataFrame) -> DataFrame:
     return batches.groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def sliding_cells(posts: DataFrame, length: str = "1 hour", step: str = "30 minutes", delay: str = "1 hour",
+def sliding_cells(posts: DataFrame, length: str = "1 hour", step: str = "30 minutes", delay: str | None = None,
                   precision: int = GRID_PRECISION) -> DataFrame:
     """Geohash counts of a sliding window over event time (half-open windows): a streaming frame."""
     return (
@@ -51,9 +53,9 @@ def sliding_grid(posts: DataFrame, **kw) -> DataFrame:
     return latest(posts.sparkSession, out, ["start", "end", "cell"])
 
 
-def hourly_counts(posts: DataFrame, unit: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Growing count per time unit: each update replaces the unit's last value; a unit is full once the
-    watermark has passed its end."""
+def hourly_counts(posts: DataFrame, unit: str = "1 hour", delay: str | None = None) -> DataFrame:
+    """Growing count per time unit: each update replaces the unit's last value; a unit is full once a post at or
+    after its end was seen."""
     return (
         _timed(posts, delay)
         .groupBy(F.window("event_time", unit).alias("w"))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tidegrid.session import work_dir
 
 
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything available in micro-batches, then stop."""
+def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append",
+                offsets: str | None = None) -> None:
+    """Process everything available in micro-batches, then stop. A kept ``offsets`` folder resumes the query."""
     q = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", work_dir(stream.sparkSession, f"offsets-{name}"))
+        .option("checkpointLocation", offsets or work_dir(stream.sparkSession, f"offsets-{name}"))
         .foreachBatch(each)
         .trigger(availableNow=True)
         .start()

@@ -25,17 +25,25 @@ from tidegrid.session import cut
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 SHARE = 1.5  # of all words
 MOST = 2.0  # times the size of a source
+FEW_SOURCES = 10_000
 
 
-def keyed(df: DataFrame, size: Column, weight: Column, id: str = "doc_id", text: str = "text", source: str = "source",
+def keyed(df: DataFrame, weights: DataFrame | None = None, id: str = "doc_id", text: str = "text", source: str = "source",
           seed: int = 17) -> DataFrame:
-    """Add the columns the decision needs: _size, _source, _e (exponential key), _v (its place in 0..1), _h."""
-    u = uniform(id, F.xxhash64(text), seed=seed)
-    v = F.pow(u, 1 / F.coalesce(weight.cast("double"), F.lit(1.0)))
-    return df.withColumns({
-        "_size": size, "_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
-        "_e": 1 - v, "_h": F.xxhash64(id, text),
-    })
+    """One slim row per document: doc_id, source and what the decision needs. Texts are not shuffled.
+
+    ``weights`` has the columns doc_id and weight, each id once. Added are _size, _source, _e (place of the
+    exponential key in 0..1) and _h (hash of id and text).
+    """
+    rows = df.select(
+        F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("_size"),
+        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_source"), F.xxhash64(id, text).alias("_h"),
+        uniform(id, F.xxhash64(text), seed=seed).alias("_u"))
+    weight = F.lit(1.0)
+    if weights is not None:
+        rows = rows.join(weights.select("doc_id", F.col("weight").cast("double").alias("_w")), "doc_id", "left")
+        weight = F.coalesce("_w", F.lit(1.0))
+    return rows.withColumn("_e", 1 - F.pow("_u", 1 / weight)).select("doc_id", "source", "_size", "_source", "_e", "_h")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -59,6 +67,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return ranked.select("_source", "total", "n", F.least("stop", F.col("w") * level).alias("target"))
 
 
+def _beside(per_source: DataFrame) -> DataFrame:
+    """Sent to all tasks if there are few sources; otherwise an ordinary join."""
+    return F.broadcast(per_source) if per_source.count() <= FEW_SOURCES else per_source
+
+
 def _bucket(n: Column) -> Column:
     """Key bucket of a document in a source of ``n`` documents."""
     return F.floor(F.col("_e") * F.ceil(F.sqrt(n))).cast("long")
@@ -71,7 +84,7 @@ def plan(rows: DataFrame, **how) -> DataFrame:
     epochs = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("long")
     goal = cut(goal.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("total")))
     buckets = (
-        rows.join(goal.select("_source", "n"), "_source").groupBy("_source", _bucket(F.col("n")).alias("b"))
+        rows.join(_beside(goal.select("_source", "n")), "_source").groupBy("_source", _bucket(F.col("n")).alias("b"))
         .agg(F.sum("_size").alias("s")).join(goal.select("_source", "rest"), "_source")
     )
     order = Window.partitionBy("_source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -80,7 +93,7 @@ def plan(rows: DataFrame, **how) -> DataFrame:
         .agg(F.min_by(F.struct("b", (F.col("upto") - F.col("s")).alias("before")), "b").alias("end"))
     )
     goal = cut(goal.join(ends, "_source", "left").select("*", "end.b", "end.before").drop("end"))
-    inside = rows.join(goal.select("_source", "n", "b", "before", "rest"), "_source").where(_bucket(F.col("n")) == F.col("b"))
+    inside = rows.join(_beside(goal.select("_source", "n", "b", "before", "rest")), "_source").where(_bucket(F.col("n")) == F.col("b"))
     key = Window.partitionBy("_source").orderBy("_e", "_h").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         inside.withColumn("mid", F.col("before") + F.sum("_size").over(key) - F.col("_size") / 2).where("mid <= rest")
@@ -95,20 +108,27 @@ def decide(rows: DataFrame, plan: DataFrame) -> DataFrame:
     once_more = F.col("b").isNull() | (mine < F.col("b")) | (
         (mine == F.col("b")) & F.coalesce(F.struct("_e", "_h") <= F.col("last"), F.lit(False)))
     copies = F.col("epochs") + F.when((F.col("rest") > 0) & once_more, 1).otherwise(0)
-    return rows.join(plan, "_source").withColumn("copies", copies.cast("long")).withColumnRenamed("total", "source_size")
+    return rows.join(_beside(plan), "_source").withColumn("copies", copies.cast("long")).withColumnRenamed("total", "source_size")
 
 
-def mix(df: DataFrame, weight: Column, **how) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, copies, taken."""
-    rows = keyed(df.withColumn("_w", weight), word_count("text"), F.col("_w"))
-    rows = stage(rows.select("doc_id", "source", "_size", "_source", "_e", "_h"), "mix-keys")
+def mix(df: DataFrame, weights: DataFrame | None = None, id: str = "doc_id", text: str = "text", source: str = "source",
+        **how) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, epochs, copies, taken, _h."""
+    rows = stage(keyed(df, weights, id, text, source), "mix-keys")
     return decide(rows, plan(rows, **how)).select(
         "doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "epochs", "copies",
-        (F.col("copies") * F.col("_size")).alias("taken"))
+        (F.col("copies") * F.col("_size")).alias("taken"), "_h")
+
+
+def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
+    """(doc_id, weight) of labelled documents; where labels of one id disagree, the better one counts."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("mark"))
+    return marks.select("doc_id", F.when(F.col("mark") == 1, good).otherwise(bad).alias("weight"))
 
 
-def weighted(documents: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
-    """(doc_id, text, source, _quality): weight ``good`` or ``bad`` for labelled documents, 1 for the others."""
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_mark"))
-    weight = F.when(F.col("_mark") == 1, good).when(F.col("_mark") == 0, bad).otherwise(1.0)
-    return documents.join(marks, "doc_id", "left").withColumn("_quality", weight).drop("_mark")
+def repeated(df: DataFrame, weights: DataFrame | None = None, id: str = "doc_id", text: str = "text", source: str = "source",
+             **how) -> DataFrame:
+    """The mixed rows of ``df``: each as often as it is taken."""
+    taken = mix(df, weights, id, text, source, **how).groupBy("_h").agg(F.max("copies").alias("_copies"))
+    rows = df.withColumn("_mix", F.xxhash64(id, text)).join(taken.where("_copies > 0"), F.col("_mix") == F.col("_h"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*df.columns)

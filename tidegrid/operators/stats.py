@@ -179,6 +179,12 @@ def permute(df: DataFrame, places: DataFrame, place: str = "place") -> DataFrame
     return places.join(df, place).select("to", *[c for c in df.columns if c != place])
 
 
+def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
+    """A repeatable sample of about ``share`` of the rows, by a digest of the key; keys may be of any type."""
+    digest = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8)
+    return df.where(digest < F.lit(f"{int(share * 2**32):08x}")) if share < 1 else df
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """A repeatable random order."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import geo, timeops
 from tidegrid.functions.text import hashtags
-from tidegrid.operators import grid
+from tidegrid.operators import grid, stats
 from tidegrid.plans.registry import query
 from tidegrid.schema import CITY_BOX, DAY_GRID_PRECISION, GRID_PRECISION, REPLAY_SPEED, Box
 from tidegrid.session import work_dir
@@ -266,10 +266,10 @@ def distinct_users(spark, d):
     return table(spark, d, "events").select("user_id").distinct()
 
 
-@query("sample_hash", over_points("select id, created_time from points where cast(id as bigint) % 10 < 4"))
+@query("sample_hash", over_points("select id, created_time from points where substr(md5(id), 1, 8) < '66666666'"))
 def sample_hash(spark, d):
     """A repeatable 40 % sample."""
-    return points(spark, d).where(F.pmod(F.col("id").cast("bigint"), F.lit(10)) < 4).select("id", "created_time")
+    return stats.hash_sample(points(spark, d), "id", 0.4).select("id", "created_time")
 
 
 @query("days_except_first", over_points("""

@@ -30,6 +30,7 @@ UNKNOWN = "und"
 TRAIN_ROWS = 20_000  # expected number of training documents at most; a bounded sample is fitted
 _BLANK = 32
 _KEEP = 40_000  # trigram vectors a worker keeps; others are made again when met
+_ALPHABET = 6_000  # letters it keeps; beyond that it starts anew
 
 
 def letters_of(text: str | None) -> np.ndarray | None:
@@ -68,49 +69,68 @@ def trigrams(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vectors:
-    """Trigram vectors, made from letter vectors on demand."""
+    """Trigram vectors, made from letter vectors on demand. A worker keeps them from task to task."""
+
+    made: dict[tuple[int, int], Vectors] = {}
 
     def __init__(self, dim: int = DIM, seed: int = SEED):
         self.dim, self.seed = dim, seed
-        self.letter: dict[int, np.ndarray] = {}
-        self.keys = np.empty(0, dtype=np.int64)
-        self.rows = np.empty((0, dim), dtype=np.float32)
+        self.place: dict[int, int] = {}  # letter -> its row in the three tables
+        self.turned = [np.empty((0, dim), dtype=np.float32) for _ in range(3)]  # letters rotated by 0, 1 and 2
+        self.keys = np.empty(0, dtype=np.int64)  # sorted
+        self.at = np.empty(0, dtype=np.int64)  # row of each key
+        self.rows = np.empty((1024, dim), dtype=np.float32)
+
+    @classmethod
+    def of(cls, dim: int, seed: int) -> Vectors:
+        return cls.made.setdefault((dim, seed), cls(dim, seed))
 
     def _letter(self, c: int) -> np.ndarray:
-        if c not in self.letter:
-            self.letter[c] = np.random.default_rng([self.seed, c]).integers(0, 2, self.dim).astype(np.float32) * 2 - 1
-        return self.letter[c]
+        return np.random.default_rng([self.seed, c]).integers(0, 2, self.dim).astype(np.float32) * 2 - 1
+
+    def _letters(self, codes: np.ndarray, turn: int) -> np.ndarray:
+        found, back = np.unique(codes, return_inverse=True)
+        new = [c for c in found.tolist() if c not in self.place]
+        if new and len(self.place) > _ALPHABET:
+            self.place, self.turned = {}, [t[:0] for t in self.turned]
+            new = found.tolist()
+        if new:
+            fresh = np.array([self._letter(c) for c in new])
+            self.place.update((c, len(self.place)) for c in new)
+            self.turned = [np.concatenate([t, np.roll(fresh, k, axis=1)]) for k, t in enumerate(self.turned)]
+        return self.turned[turn][np.array([self.place[c] for c in found.tolist()])[back]]
 
     def _make(self, keys: np.ndarray) -> np.ndarray:
         mask = (1 << 21) - 1
-        out = np.empty((len(keys), self.dim), dtype=np.float32)
-        for i, k in enumerate(keys.tolist()):
-            out[i] = np.roll(self._letter(k >> 42), 2) * np.roll(self._letter((k >> 21) & mask), 1) * self._letter(k & mask)
-        return out
+        return self._letters(keys >> 42, 2) * self._letters((keys >> 21) & mask, 1) * self._letters(keys & mask, 0)
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the vectors of sorted distinct ``keys``, times their counts."""
-        at = np.searchsorted(self.keys, keys)
+        counts = counts.astype(np.float32)
+        near = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        out = counts[known].astype(np.float32) @ self.rows[at[known]]
-        if not known.all():
-            new = keys[~known]
-            for lo in range(0, len(new), 4096):  # a text may hold any number of distinct trigrams
-                part = new[lo: lo + 4096]
-                made = self._make(part)
-                out = out + counts[~known][lo: lo + 4096].astype(np.float32) @ made
-                if len(self.keys) + len(part) <= _KEEP:
-                    every = np.concatenate([self.keys, part])
-                    order = np.argsort(every)
-                    self.keys, self.rows = every[order], np.concatenate([self.rows, made])[order]
+        inside = near < len(self.keys)
+        known[inside] = self.keys[near[inside]] == keys[inside]
+        out = counts[known] @ self.rows[self.at[near[known]]]
+        new = keys[~known]
+        for lo in range(0, len(new), 4096):  # a text may hold any number of distinct trigrams
+            part = new[lo: lo + 4096]
+            made = self._make(part)
+            out = out + counts[~known][lo: lo + 4096] @ made
+            n = len(self.keys)
+            if n + len(part) <= _KEEP:
+                while n + len(part) > len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+                self.rows[n: n + len(part)] = made
+                where = np.searchsorted(self.keys, part)
+                self.keys = np.insert(self.keys, where, part)
+                self.at = np.insert(self.at, where, np.arange(n, n + len(part)))
         return out
 
 
 def _bundle_task(dim: int, seed: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, sums = Vectors(dim, seed), {}
+        vectors, sums = Vectors.of(dim, seed), {}
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"]):
                 code = letters_of(text.as_py())
@@ -153,7 +173,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     matrix = np.array([prototypes[n] for n in names], dtype=np.float32).reshape(len(names), dim)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(dim, seed)
+        vectors = Vectors.of(dim, seed)
         for b in batches:
             best, score = [], []
             for t in b[text]:

@@ -13,12 +13,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage, keeps column pruning.
 
-    The copy outlives a lost executor. It stays until the shared folder is emptied between jobs,
-    because a frame that reads it may be evaluated at any later time.
+    The copy outlives a lost executor. Where an operator is done with it, :func:`release` deletes it; a copy
+    that a returned frame reads stays until the shared folder is emptied between jobs.
     """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(staged: DataFrame) -> None:
+    """Delete the copy behind a staged frame that nothing reads any more."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 1. Documents with equal sets are one class. Classes meet through prefixes: under one global order of
    shingles (those counted often in some batch last, by count; the others first, by hash) two sets with
-   similarity t share l shingles among the first n - ceil(t n) + l of each, for any l. With l a twentieth of
+   similarity t share l shingles among the first n - ceil(t n) + l of each, for any l. With l a tenth of
    the set, a class that shares fewer prefix shingles with all others together has no link and is left out.
 2. All classes that share a prefix shingle go to the block of the smallest of them. So any two classes that
    can be linked meet in some block, and a group of near copies makes a few blocks, not one per shingle.
@@ -30,18 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import stage
+from tidegrid.llm.common import release, stage
 from tidegrid.llm.tokens import distinct, pieces, scramble, shingles
 from tidegrid.operators.graph import connected_components
 
-FREQUENT = 16  # counted so often, a shingle is moved to the end of the order
-FREQUENT_KEPT = 200_000  # of these at most; the order of the others is by hash
+SEEN = 3  # counted so often in a batch, a shingle is reported
+FREQUENT = 12  # reported so often in all, it is moved to the end of the order
+FREQUENT_KEPT = 500_000  # of these at most; the order of the others is by hash
 BLOCK = 256  # sets in one trie
 SENT_KEYS = 2_000_000  # class keys sent to all tasks at most; beyond that they are joined
 
 def _at_least(n):
     """Shared prefix shingles that are asked of a set of ``n``; rises with ``n``."""
-    return n // 20 + 1
+    return n // 10 + 1
 
 
 # similarity >= 4/5, as integers: 9 * overlap >= 4 * (size + size)
@@ -76,11 +77,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.sort(np.concatenate(every)) if every else np.empty(0, dtype=np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, dtype=np.int64)
         count = np.diff(np.append(edge, len(flat)))
-        often = edge[count >= FREQUENT // 2]
+        often = edge[count >= SEEN]
         m = len(often)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(m, b["id"].type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-             _i64(flat[often]), pa.array(count[count >= FREQUENT // 2], pa.int64())],
+             _i64(flat[often]), pa.array(count[count >= SEEN], pa.int64())],
             names=["id", "th", "n", "f", "token", "k"])
 
 
@@ -293,12 +294,38 @@ def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
         _join_blocks, "src long, dst long")
 
 
-def _components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(f, c): the component of every class that has a link."""
     ends = links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
     return connected_components(ends, links).select(F.col("id").alias("f"), F.col("component").alias("c"))
 
 
+def linked_in_blocks(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links between the sets of each block; ``met`` has (leader, f), ``sets`` has (f, tokens)."""
+    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    blocks = met.join(parts, "leader").select(
+        "leader", "parts", "f", F.explode(F.when(F.col("f") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")))).alias("part"))
+    zero = F.lit(0).cast("long").alias("c")
+    found = stage(_links(blocks.select("leader", "part", F.lit(0).alias("probe"), "f", zero), sets), "shingle-links")
+    divided = blocks.where("parts > 1")
+    if divided.isEmpty():
+        return found
+    # Sets outside the largest component of a divided block still have to meet the block's other parts.
+    comps = components(found)
+    divided = stage(divided.join(comps, "f", "left").withColumn("c", F.coalesce("c", "f")), "shingle-divided")
+    sizes = divided.groupBy("leader", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("leader").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = divided.join(main, "leader")
+    probes = open_.where("c <> main").select("leader", "parts", "f", "c").distinct().select(
+        "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "f", "c")
+    both = open_.select("leader", "part", F.lit(0).alias("probe"), "f", "c").unionByName(probes)
+    every = stage(found.unionByName(_links(both, sets)), "shingle-links")
+    release(found)
+    release(divided)
+    return every
+
+
 def profile(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, n, f): id, hash of the text, set size, class key; and the table of often counted shingles."""
     rows = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -333,12 +360,15 @@ def links(df: DataFrame, counts: DataFrame, text: str = "text", block: int = BLO
     order = spark.sparkContext.broadcast(_frequent(counts, frequent))
     entries = stage(rows.mapInArrow(_prefixes(order), "token long, f long, need int"), "shingle-prefixes")
     live = stage(entries.join(_shared(entries), "token").select("token", "leader", "f", "need"), "shingle-shared")
+    release(entries)
     for _ in range(2):  # leaving classes out can leave others without partners
         enough = live.groupBy("f").agg(F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("f")
-        live = stage(live.drop("leader").join(enough, "f", "left_semi"), "shingle-live")
-        live = live.join(_shared(live), "token").select("token", "leader", "f", "need")
-        live = stage(live, "shingle-live")
+        some = stage(live.drop("leader").join(enough, "f", "left_semi"), "shingle-live")
+        release(live)
+        live = stage(some.join(_shared(some), "token").select("token", "leader", "f", "need"), "shingle-live")
+        release(some)
     met = stage(live.select("leader", "f").distinct(), "shingle-blocks")
+    release(live)
     keys = met.select("f").distinct()
     if keys.count() <= sent_keys:
         wanted = np.sort(keys.toPandas()["f"].to_numpy(dtype=np.int64))  # bounded by the check
@@ -347,32 +377,16 @@ def links(df: DataFrame, counts: DataFrame, text: str = "text", block: int = BLO
         sets = rows.mapInArrow(_full_sets(None), "f long, tokens array<long>").join(keys, "f", "left_semi")
     sets = stage(sets.groupBy("f").agg(F.first("tokens").alias("tokens")), "shingle-sets")
 
-    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    blocks = met.join(parts, "leader").select(
-        "leader", "parts", "f", F.explode(F.when(F.col("f") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")))).alias("part"))
-    zero = F.lit(0).cast("long").alias("c")
-    found = stage(_links(blocks.select("leader", "part", F.lit(0).alias("probe"), "f", zero), sets), "shingle-links")
-    divided = blocks.where("parts > 1")
-    if divided.isEmpty():
-        return found
-    # Sets outside the largest component of a divided block still have to meet the block's other parts.
-    comps = _components(found)
-    divided = stage(divided.join(comps, "f", "left").withColumn("c", F.coalesce("c", "f")), "shingle-divided")
-    sizes = divided.groupBy("leader", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("leader").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = divided.join(main, "leader")
-    probes = open_.where("c <> main").select("leader", "parts", "f", "c").distinct().select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "f", "c")
-    both = open_.select("leader", "part", F.lit(0).alias("probe"), "f", "c").unionByName(probes)
-    more = _links(both, sets)
-    return stage(found.unionByName(more), "shingle-links")
+    found = linked_in_blocks(met, sets, block)
+    release(sets)
+    release(met)
+    return found
 
 
 def groups(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row per row of ``df``: id, th (hash of the text), n_shingles, component (of class keys), component_id."""
     docs, counts = profile(df, id, text)
-    roots = _components(links(df, counts, text, **how))
+    roots = components(links(df, counts, text, **how))
     classes = docs.where("n > 0").groupBy("f").agg(F.min("id").alias("low")).join(roots, "f", "left").select(
         "f", "low", F.coalesce("c", "f").alias("c"))
     lows = classes.groupBy("c").agg(F.min("low").alias("low"))
@@ -400,31 +414,3 @@ def one_per_group(df: DataFrame, id: str = "doc_id", text: str = "text", **how)
     once = kept.join(again, kept[id].eqNullSafe(again["id"]) & (kept["_th"] == again["th"]), "left_anti")
     several = kept.join(again, kept[id].eqNullSafe(again["id"]) & (kept["_th"] == again["th"]), "left_semi")
     return once.unionByName(several.dropDuplicates([id, "_th"])).drop("_th")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(f, c): the component of every key that has a link."""
-    return _components(links)
-
-
-def linked_in_blocks(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links between the sets of each block; ``met`` has (leader, f), ``sets`` has (f, tokens)."""
-    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    blocks = met.join(parts, "leader").select(
-        "leader", "parts", "f", F.explode(F.when(F.col("f") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")))).alias("part"))
-    zero = F.lit(0).cast("long").alias("c")
-    found = stage(_links(blocks.select("leader", "part", F.lit(0).alias("probe"), "f", zero), sets), "shingle-links")
-    divided = blocks.where("parts > 1")
-    if divided.isEmpty():
-        return found
-    # Sets outside the largest component of a divided block still have to meet the block's other parts.
-    comps = _components(found)
-    divided = stage(divided.join(comps, "f", "left").withColumn("c", F.coalesce("c", "f")), "shingle-divided")
-    sizes = divided.groupBy("leader", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("leader").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = divided.join(main, "leader")
-    probes = open_.where("c <> main").select("leader", "parts", "f", "c").distinct().select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "f", "c")
-    both = open_.select("leader", "part", F.lit(0).alias("probe"), "f", "c").unionByName(probes)
-    return stage(found.unionByName(_links(both, sets)), "shingle-links")

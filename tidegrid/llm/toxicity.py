@@ -27,7 +27,7 @@ from tidegrid.llm.common import uniform
 from tidegrid.llm.tokens import NOT_LETTER, pieces
 
 BITS = 20
-MOST_ROWS = 12_000  # labelled documents in the fit, as expected number
+MOST_ROWS = 20_000  # labelled documents in the fit, as expected number
 TERMS = 2048  # buckets kept in the model at most
 RANK = 8  # factors of a term
 THRESHOLD = 0.7
@@ -74,7 +74,7 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, most_terms: int = TERMS, ran
     picked = picked[z[picked] > 3]
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[picked] = np.arange(len(picked))
-    x = np.zeros((n, len(picked)), dtype=np.float32)
+    x = np.zeros((n, len(picked)), dtype=np.uint8)
     known = place[flat] >= 0
     x[row[known], place[flat[known]]] = 1
     rng = np.random.default_rng(seed)
@@ -85,7 +85,7 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, most_terms: int = TERMS, ran
         order = rng.permutation(n)
         for lo in range(0, n, 512):
             at = order[lo: lo + 512]
-            xb, (w0, w, v) = x[at], theta
+            xb, (w0, w, v) = x[at].astype(np.float32), theta
             sums = xb @ v
             z_ = w0 + xb @ w + 0.5 * ((sums**2).sum(1) - xb @ (v**2).sum(1))
             g = (1 / (1 + np.exp(-np.clip(z_, -30, 30))) - toxic[at]) / len(at)

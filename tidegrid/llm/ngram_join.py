@@ -2,7 +2,7 @@
 
 1. Documents with equal sets are one class. Classes meet through prefixes: under one global order of
    shingles (those counted often in some batch last, by count; the others first, by hash) two sets with
-   similarity t share l shingles among the first n - ceil(t n) + l of each, for any l. With l a tenth of
+   similarity t share l shingles among the first n - ceil(t n) + l of each, for any l. With l a seventh of
    the set, a class that shares fewer prefix shingles with all others together has no link and is left out.
 2. All classes that share a prefix shingle go to the block of the smallest of them. So any two classes that
    can be linked meet in some block, and a group of near copies makes a few blocks, not one per shingle.
@@ -42,7 +42,7 @@ SENT_KEYS = 2_000_000  # class keys sent to all tasks at most; beyond that they
 
 def _at_least(n):
     """Shared prefix shingles that are asked of a set of ``n``; rises with ``n``."""
-    return n // 10 + 1
+    return n // 7 + 1
 
 
 # similarity >= 4/5, as integers: 9 * overlap >= 4 * (size + size)

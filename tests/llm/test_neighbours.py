@@ -68,3 +68,19 @@ def test_hilbert_keys_are_a_walk_over_the_grid():
     path = cells[np.argsort(neighbours.hilbert(cells, 2))]
     assert sorted(neighbours.hilbert(cells, 2)) == list(range(64))
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_a_third_of_all_rows_in_one_tight_cluster(spark):
+    for spread in (1e-5, 1e-3):
+        rng = np.random.default_rng(4)
+        x = rng.normal(size=(6000, 64))
+        x /= np.sqrt((x**2).sum(1, keepdims=True))
+        x[::3] = x[0] + rng.normal(scale=spread, size=(2000, 64))
+        rows = list(enumerate(x.tolist()))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        asked = range(0, 6000, 60)
+        want = exact(rows, asked)
+        got = neighbours.nearest(df, F.col("id") % 60 == 0).collect()
+        assert len(got) == 10 * len(want)
+        hits = sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got)
+        assert hits / len(got) >= 0.9

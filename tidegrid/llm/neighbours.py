@@ -1,8 +1,8 @@
 """Approximate nearest neighbours from shifted Hilbert curves.
 
 Each of several curves has its own random projection to a few dimensions and its own random shift of the
-grid; the Hilbert key of the projected vector orders all rows. Every ordering is range-partitioned into
-blocks by sampled splitters. A query visits its own block and the neighbouring ones of each ordering, the
+grid; the Hilbert key of the projected vector orders all rows. A crowded grid cell is ordered by a finer grid of
+its own. Every ordering is range-partitioned into blocks of equal shares of a sample. A query visits its own block and the neighbouring ones of each ordering, the
 candidates of all orderings are merged, and their exact distances rank them.
 
 The work is queries x curves x window; ``window`` is the share of all keys that a query sees in one
@@ -34,7 +34,10 @@ BITS = 4  # grid steps per axis, as a power of two
 BLOCKS = 64  # of an ordering; more where blocks would be too large, fewer for small tables
 BLOCK_ROWS = 50_000  # of a block, at most by expectation
 WINDOW = 0.08
-SAMPLE = 10_000  # vectors that fix grid and splitters, as expected number
+SAMPLE = 10_000  # vectors that fix grids and block borders, as expected number
+CROWDED = 0.25  # of a block in one grid cell: the cell gets a grid of its own
+CROWDED_ROWS = 16  # sample rows that such a cell has at least
+DEPTH = 16  # grids inside each other at most; each spans one cell of the one around it
 _SLACK = 8  # kept besides k until exact distances are known
 
 
@@ -65,36 +68,66 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+class _Cells:
+    """Place of projected vectors among the sample rows of one curve, or of one crowded cell of it.
+
+    A cell that holds more than ``most`` sample rows has a grid of its own over just the range of these rows,
+    and so on, so a dense group is ordered by where its vectors lie however small it is.
+    """
+
+    def __init__(self, flat: np.ndarray, shift: np.ndarray, bits: int, most: float, depth: int = DEPTH):
+        self.shift, self.bits = shift, bits
+        self.low = flat.min(0)
+        span = flat.max(0) - self.low
+        self.span = np.where(span > 0, span, 1.0)
+        key = self._keys(flat)
+        self.keys, counts = np.unique(key, return_counts=True)
+        self.before = np.concatenate([[0], np.cumsum(counts)])
+        self.inner = {}
+        for j in np.flatnonzero(counts > most) if depth else ():
+            rows = flat[key == self.keys[j]]
+            if (rows != rows[0]).any():
+                self.inner[int(j)] = _Cells(rows, shift, bits, most, depth - 1)
+
+    def _keys(self, flat: np.ndarray) -> np.ndarray:
+        top = 1 << self.bits
+        unit = (flat - self.low) / self.span
+        return hilbert(np.clip((unit * 0.5 + self.shift) * top, 0, top - 1).astype(np.int64), self.bits)
+
+    def place(self, flat: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Number of sample rows before each vector; ``tie`` in 0..1 orders the vectors of a cell."""
+        key = self._keys(flat)
+        at = np.searchsorted(self.keys, key)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == key
+        out = self.before[at] + np.where(known, tie * (self.before[np.minimum(at + 1, len(self.keys))] - self.before[at]), 0.0)
+        crowded = known & np.isin(at, list(self.inner))
+        for j in np.unique(at[crowded]).tolist():
+            mine = np.flatnonzero(crowded & (at == j))
+            out[mine] = self.before[j] + self.inner[j].place(flat[mine], tie[mine])
+        return out
+
+
 class Curves:
     """Projections, grids and splitters, fixed by a seed and a sample."""
 
     def __init__(self, sample: np.ndarray, blocks: int, curves: int = CURVES, axes: int = AXES,
                  bits: int = BITS, seed: int = 23):
         rng = np.random.default_rng(seed)
-        self.bits, self.blocks = bits, blocks
+        self.blocks, self.rows = blocks, len(sample)
         dim = sample.shape[1]
         axes = min(axes, dim)
         self.mark = rng.normal(size=dim)
         self.project = [np.linalg.qr(rng.normal(size=(dim, axes)))[0] for _ in range(curves)]
-        self.shift = [rng.random(axes) * 0.5 for _ in range(curves)]
-        spread = [sample @ p for p in self.project]
-        self.low = [s.min(0) for s in spread]
-        self.span = [np.maximum(s.max(0) - s.min(0), 1e-12) for s in spread]
-        self.cuts = []
-        for c in range(curves):
-            order = np.sort(self._order(c, sample))
-            self.cuts.append(order[(np.arange(1, blocks) * len(order)) // blocks])
-
-    def _order(self, c: int, vectors: np.ndarray) -> np.ndarray:
-        """Hilbert key, then a hash of the vector: a crowded cell is divisible, equal vectors stay together."""
-        unit = (vectors @ self.project[c] - self.low[c]) / self.span[c]
-        top = 1 << self.bits
-        cells = np.clip((unit * 0.5 + self.shift[c]) * top, 0, top - 1).astype(np.int64)
-        tie = (scramble((vectors * self.mark).sum(1).view(np.uint64)) >> np.uint64(40)).astype(np.int64)
-        return (hilbert(cells, self.bits) << 24) | tie
+        shift = [rng.random(axes) * 0.5 for _ in range(curves)]
+        most = max(self.rows / blocks * CROWDED, CROWDED_ROWS)
+        self.cells = [_Cells(sample @ p, s, bits, most) for p, s in zip(self.project, shift)]
 
     def block(self, c: int, vectors: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.cuts[c], self._order(c, vectors), side="right")
+        """By place on the curve, then by a hash of vector and curve: every cell is divisible, equal vectors stay together."""
+        mark = (vectors * self.mark).sum(1).view(np.uint64)
+        tie = (scramble(scramble(mark) + np.uint64(c)) >> np.uint64(11)) / float(2**53)
+        place = self.cells[c].place(vectors @ self.project[c], tie)
+        return np.minimum(place * (self.blocks / self.rows), self.blocks - 1).astype(np.int64)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

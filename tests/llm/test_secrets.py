@@ -61,3 +61,13 @@ def test_odd_rows_and_empty_table(spark):
     rows = secrets.scan(odd(spark)).collect()
     assert len(rows) == 10 and {r.spans for r in rows} == {""}
     assert secrets.scan(empty(spark)).collect() == []
+
+
+def test_a_value_in_many_documents_of_one_source_is_copied(spark):
+    other, pair = LIVE[::-1], LIVE[5:] + "Zz9Xy"
+    rows = [(i, f"key {LIVE} end", "o") for i in range(50)] + [(60, f"key {other}", "o"), (61, f"key {other}", "o")]
+    rows += [(70, f"key {pair}", "o"), (71, f"key {pair}", "p"), (80, "token=" + LIVE, "o")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i].spans, got[i].n_owned, got[i].n_specific, got[i].n_copied) == ("", 0, 0, 1) for i in (*range(50), 70, 71))
+    assert all((got[i].n_owned, got[i].n_specific, got[i].n_copied) == (1, 1, 0) for i in (60, 61))
+    assert got[80].spans == f"assign:0:{6 + len(LIVE)}" and (got[80].n_specific, got[80].n_copied) == (0, 1)

@@ -2,8 +2,8 @@
 
 Base spans are matches of three fixed kinds. The method looks at further live-looking values (long, mixed
 characters, high entropy) and counts, for the hash of every candidate, the distinct owners and repositories
-that hold it. A value that only one owner holds is a credential of that owner and gives a span of kind
-``owned``; one that many owners hold is a copied example.
+that hold it. A value that only one owner holds, in few repositories, is a credential of that owner and gives a
+span of kind ``owned``; one that several owners or many repositories hold is a copied example.
 
 Defined results: null and empty texts have no spans; a null owner is an owner of its own, a null repository
 likewise; repeated rows give one result row each; other columns are not read.
@@ -93,7 +93,8 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", repo: str = "doc
          bits: float = 3.0, copied_from: int = 3) -> DataFrame:
     """One row per document: id, counts, checksum of the base spans, all spans, and what ownership says of them.
 
-    ``n_specific`` live-looking values are held by one owner, ``n_copied`` values by ``copied_from`` owners or more.
+    ``n_specific`` live-looking values are held by one owner in fewer than ``copied_from`` repositories; ``n_copied`` values
+    are held by several owners, or by one in ``copied_from`` repositories or more.
     """
     rows = df.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id).cast("string").alias("id"),
@@ -109,13 +110,14 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", repo: str = "doc
     )
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     judged = found.join(owners, "h")
-    shown = (F.col("kind") < 3) | (F.col("owners") == 1)
+    specific = (F.col("owners") == 1) & (F.col("repos") < copied_from)
+    shown = (F.col("kind") < 3) | specific
     spans = judged.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.when(
             shown, F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("s"))))).alias("all"),
-        F.sum(F.when((F.col("kind") == 3) & (F.col("owners") == 1), 1).otherwise(0)).alias("n_owned"),
-        F.sum(F.when((F.col("owners") == 1) & F.col("live"), 1).otherwise(0)).alias("n_specific"),
-        F.sum(F.when(F.col("owners") >= copied_from, 1).otherwise(0)).alias("n_copied"))
+        F.sum(F.when((F.col("kind") == 3) & specific, 1).otherwise(0)).alias("n_owned"),
+        F.sum(F.when(specific & F.col("live"), 1).otherwise(0)).alias("n_specific"),
+        F.sum(F.when(~specific, 1).otherwise(0)).alias("n_copied"))
     zero = F.lit(0).cast("long")
     return kept.drop("found").join(spans, "rid", "left").select(
         F.col("id").cast(dict(df.dtypes)[id]).alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256",

@@ -86,3 +86,27 @@ def test_odd_rows_and_empty_table(spark):
     null_id = spark.createDataFrame([(None, t), (None, t), (4, t), (4, t)], "doc_id long, text string").withColumn("f", F.lit("x"))
     got = substrings.repeats(null_id).collect()
     assert all((r.spans == "") == (r.doc_id == 4) for r in got)
+
+
+def test_no_passage_of_over_fifty_words_is_lost(spark):
+    rng = random.Random(11)
+    docs, inside = {}, {}
+    for i in range(300):
+        passage = words(rng, 51 + i % 10)
+        inside[1000 + i] = passage.split()
+        docs[i] = f"{words(rng, 40)} {passage} {words(rng, 30)}"
+        docs[1000 + i] = f"{words(rng, 25 + i % 7)} {passage} {words(rng, 45)}"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: removed(r, docs[r.doc_id]) for r in substrings.repeats(df).collect()}
+    assert all(not got[i] for i in range(300))
+    for i, passage in inside.items():
+        assert len(got[i]) >= len(passage) - 2 * (24 - 13) and set(got[i]) <= set(passage)
+
+
+def test_common_short_runs_are_no_passage(spark):
+    """Five words at a time occur elsewhere, but never 24 in a row."""
+    rng = random.Random(12)
+    phrases = [words(rng, 5) for _ in range(40)]
+    docs = [(i, " ".join(rng.sample(phrases, 30))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(r.spans == "" for r in substrings.repeats(df).collect())

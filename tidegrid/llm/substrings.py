@@ -5,9 +5,10 @@ of 4, so that two paragraphs with similarity 0.8 meet in some band with chance 0
 collide are brought into blocks, their exact Jaccard similarity is checked there, and connected components
 are the groups of copies.
 
-A passage inside a longer paragraph is found through parts: the words of a text are cut wherever the hash of
-two neighbouring words says so, hence equal passages have equal parts whatever surrounds them. A run of
-repeated parts with ``RUN_WORDS`` words or more is a repeated passage; up to a part at each end is not seen.
+A passage inside a longer paragraph is found through runs of ``RUN_WORDS`` words: of every ``APART`` neighbouring
+runs the one with the least hash is chosen, so in each equal stretch of RUN_WORDS + APART - 1 words the same run is
+chosen whatever surrounds it. All words of a chosen run that another document holds are a repeated passage; no
+passage of that length is missed, but up to APART - 1 words at each end are not seen.
 
 Of each group the document with the smallest id keeps its copy; all others lose theirs. Repeats inside one
 document are left alone.
@@ -33,9 +34,8 @@ from tidegrid.llm.tokens import Piece, distinct, pieces, scramble, shingles
 
 LINE_WORDS = 20
 BANDS, ROWS = 16, 4
-PART_WORDS = 6  # mean length of a part
-PART_LEAST = 3  # shorter parts are too common to tell anything
-RUN_WORDS = 24
+RUN_WORDS = 24  # words compared at once
+APART = 12  # neighbouring runs of which one at least is chosen
 
 _A = scramble(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = scramble(np.arange(5001, 5001 + BANDS * ROWS, dtype=np.uint64))
@@ -59,33 +59,51 @@ def bands(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def parts(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word, word after the last) of the parts of all rows, as places in ``p.words``."""
+    """(hash, first word, word after the last) of the chosen runs of ``RUN_WORDS`` words, as places in ``p.words``.
+
+    Of every ``APART`` neighbouring runs the one with the least hash is chosen, the last of equal ones. Equal runs
+    one word apart (one word again and again) are one unit.
+    """
+    none = np.empty(0, dtype=np.int64)
     n = len(p.words)
-    if not n:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    cut = np.zeros(n + 1, dtype=bool)
-    cut[1:n] = scramble(p.words[:-1] * np.uint64(3) + p.words[1:]) % np.uint64(PART_WORDS) == 0
-    fresh = np.flatnonzero(np.concatenate([[True], p.words[1:] != p.words[:-1]]))
-    within = np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))
-    cut[:n] |= (within > 0) & (within % PART_WORDS == 0)  # one word again and again
-    cut[p.bounds] = True
-    at = np.flatnonzero(cut)
-    first, after = at[:-1], at[1:]
+    counts = np.maximum(np.diff(p.bounds) - RUN_WORDS + 1, 0)  # runs of each row
+    ends = np.cumsum(counts)
+    if not n or not ends[-1]:
+        return np.empty(0, dtype=np.uint64), none, none
+    at = np.arange(ends[-1]) + np.repeat(p.bounds[:-1] - (ends - counts), counts)
     power = np.full(n, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64).cumprod(dtype=np.uint64)
     back = np.full(n, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64), dtype=np.uint64).cumprod(dtype=np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(p.words * power, dtype=np.uint64)])
-    return scramble((sums[after] - sums[first]) * back[first] + (after - first).astype(np.uint64)), first, after
+    h = scramble((sums[at + RUN_WORDS] - sums[at]) * back[at] + np.uint64(RUN_WORDS))
+    chosen = np.zeros(len(h), dtype=bool)
+    if len(h) >= APART:
+        m = len(h) - APART + 1
+        least, where = h[:m].copy(), np.arange(m)
+        for j in range(1, APART):
+            lower = h[j: j + m] <= least
+            least[lower] = h[j: j + m][lower]
+            where[lower] = np.flatnonzero(lower) + j
+        row = np.repeat(np.arange(p.rows), counts)
+        chosen[where[row[:m] == row[APART - 1:]]] = True
+    for r in np.flatnonzero((counts > 0) & (counts < APART)):
+        mine = h[ends[r] - counts[r]: ends[r]]
+        chosen[ends[r] - 1 - np.argmin(mine[::-1])] = True
+    pick = np.flatnonzero(chosen)
+    h, at = h[pick], at[pick]
+    new = np.ones(len(h) + 1, dtype=bool)
+    new[1:-1] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
+    return h[new[:-1]], at[new[:-1]], at[new[1:]] + RUN_WORDS
 
 
 _UNITS = (
-    "rid long, doc long, line boolean, f long, first int, after int, start int, end int, words int, bands array<long>"
+    "rid long, doc long, line boolean, f long, start int, end int, words int, bands array<long>"
 )
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts and long lines of every text; band keys once per distinct line of a batch."""
+    """Chosen runs and long lines of every text; band keys once per distinct line of a batch."""
     i64 = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
-    names = ["rid", "doc", "line", "f", "first", "after", "start", "end", "words", "bands"]
+    names = ["rid", "doc", "line", "f", "start", "end", "words", "bands"]
     for b in batches:
         rid, doc = b["rid"].to_numpy(), b["doc"]
         seen: set[int] = set()
@@ -93,15 +111,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.diff(p.bounds)
             yield pa.RecordBatch.from_arrays(  # one row for the text itself
                 [pa.array(rid[p.first: p.first + p.rows]), doc.slice(p.first, p.rows), pa.nulls(p.rows, pa.bool_()),
-                 pa.nulls(p.rows, pa.int64()), *[pa.nulls(p.rows, pa.int32())] * 4, pa.array(count, pa.int32()),
+                 pa.nulls(p.rows, pa.int64()), *[pa.nulls(p.rows, pa.int32())] * 2, pa.array(count, pa.int32()),
                  pa.nulls(p.rows, pa.list_(pa.int64()))], names=names)
             h, first, after = parts(p)
-            long = after - first >= PART_LEAST
-            h, first, after = h[long], first[long], after[long]
             row = np.searchsorted(p.bounds, first, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid[row + p.first]), doc.take(pa.array(row + p.first)), pa.array(np.zeros(len(h), dtype=bool)), i64(h),
-                 pa.array(first - p.bounds[row], pa.int32()), pa.array(after - p.bounds[row], pa.int32()),
                  pa.array(p.starts[first], pa.int32()), pa.array(p.ends[after - 1], pa.int32()),
                  pa.array(after - first, pa.int32()), pa.nulls(len(h), pa.list_(pa.int64()))], names=names)
         yield from _lines(b, rid, doc, seen, names, i64)
@@ -143,7 +158,6 @@ def _lines(b: pa.RecordBatch, rid: np.ndarray, doc: pa.Array, seen: set, names:
         base = start[p.first + pick]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rid[src]), doc.take(pa.array(src)), pa.array(np.ones(len(pick), dtype=bool)), i64(key),
-             *[pa.array(np.zeros(len(pick)), pa.int32())] * 2,
              pa.array(base + p.starts[p.bounds[pick]], pa.int32()), pa.array(base + p.ends[p.bounds[pick + 1] - 1], pa.int32()),
              pa.array(count[pick], pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=names)
 
@@ -195,20 +209,10 @@ def paragraph_links(units: DataFrame, texts: DataFrame, sent_keys: int = ngram_j
 
 
 def _merge(found: pd.Series) -> pd.DataFrame:
-    """Runs of repeated parts that are long enough, joined with repeated lines, as byte spans of one text."""
+    """Repeated runs and lines of each text as byte spans."""
     out = []
     for items in found:
-        spans = [(x["start"], x["end"]) for x in items if x["line"]]
-        run = None  # first word, word after, start, end, words of its parts
-        for x in sorted((x for x in items if not x["line"]), key=lambda x: x["first"]):
-            if run and x["first"] - run[1] < PART_LEAST:
-                run = [run[0], x["after"], run[2], x["end"]]
-            else:
-                if run and run[1] - run[0] >= RUN_WORDS:
-                    spans.append((run[2], run[3]))
-                run = [x["first"], x["after"], x["start"], x["end"]]
-        if run and run[1] - run[0] >= RUN_WORDS:
-            spans.append((run[2], run[3]))
+        spans = [(x["start"], x["end"]) for x in items]
         merged: list[list[int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
@@ -224,7 +228,7 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     units = stage(rows.mapInArrow(_units, _UNITS), "passages")
     whole = units.where("line is null").select("rid", "doc", F.col("words").alias("n_words"))
-    spot = ["rid", "line", "first", "after", "start", "end"]
+    spot = ["rid", "start", "end"]
 
     pieces_ = units.where("not line")
     known = pieces_.groupBy("f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max(F.col("doc").isNull()).alias("loose"))

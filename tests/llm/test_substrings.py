@@ -110,3 +110,30 @@ def test_common_short_runs_are_no_passage(spark):
     docs = [(i, " ".join(rng.sample(phrases, 30))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert all(r.spans == "" for r in substrings.repeats(df).collect())
+
+
+def test_near_copies_of_wrapped_paragraphs(spark):
+    rng = random.Random(13)
+    wrap = lambda w: "\n".join(" ".join(w[i: i + 12]) for i in range(0, len(w), 12))
+    docs, copies = {}, {}
+    for i in range(30):
+        one = words(rng, 100).split()
+        edited = list(one)
+        edited[25 + i % 5], edited[70 - i % 7] = "other", "words"
+        docs[i] = f"{wrap(words(rng, 30).split())}\n\n{wrap(one)}\n \n{wrap(words(rng, 40).split())}"
+        docs[100 + i] = f"é {wrap(words(rng, 50).split())}\n\n{wrap(edited)}"
+        copies[100 + i] = edited
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: removed(r, docs[r.doc_id]) for r in substrings.repeats(df).collect()}
+    assert all(not got[i] for i in range(30))
+    assert all(got[i] == w for i, w in copies.items())
+
+
+def test_paragraphs_are_long_lines_and_blocks():
+    long = " ".join(["word"] * 20)
+    text = f"a\n{long}\n\r\n{long}\n{long}\n\nalone\n" + "\n".join(["b c d e f g h"] * 9)
+    raw = text.encode()
+    got = list(substrings.paragraphs(text))
+    assert [p for _, p in got] == [long.encode(), f"a\n{long}".encode(), long.encode(), long.encode(), raw[raw.index(b"alone"):]]
+    assert all(raw[at: at + len(p)] == p for at, p in got)
+    assert list(substrings.paragraphs(None)) == list(substrings.paragraphs("")) == []

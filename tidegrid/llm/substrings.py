@@ -1,6 +1,6 @@
 """Repeated passages: near copies of paragraphs by MinHash banding, and passages inside longer paragraphs.
 
-Paragraphs are lines of ``LINE_WORDS`` words or more. Their word shingles give 64 MinHash values in 16 bands
+Paragraphs are lines, and blocks of lines between blank lines, of ``LINE_WORDS`` words or more. Their word shingles give 64 MinHash values in 16 bands
 of 4, so that two paragraphs with similarity 0.8 meet in some band with chance 0.9998. Paragraphs that
 collide are brought into blocks, their exact Jaccard similarity is checked there, and connected components
 are the groups of copies.
@@ -101,7 +101,7 @@ _UNITS = (
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chosen runs and long lines of every text; band keys once per distinct line of a batch."""
+    """Chosen runs and paragraphs of every text; band keys once per distinct paragraph of a batch."""
     i64 = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
     names = ["rid", "doc", "line", "f", "start", "end", "words", "bands"]
     for b in batches:
@@ -122,16 +122,34 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _lines(b, rid, doc, seen, names, i64)
 
 
+def paragraphs(text: str | None) -> Iterator[tuple[int, bytes]]:
+    """First byte and bytes of what can be a paragraph: long lines, and blocks of lines between blank ones.
+
+    A block of one line or of long lines only has nothing that its lines do not have.
+    """
+    raw = (text or "").encode()
+    at, first, lines, short = 0, 0, 0, False
+    for line in [*raw.split(b"\n"), b""]:
+        words = len(line.split())
+        if words >= LINE_WORDS:
+            yield at, line
+        if words:
+            first = first if lines else at
+            lines, short = lines + 1, short or words < LINE_WORDS
+        elif lines:
+            if lines > 1 and short and at - 1 - first > 2 * LINE_WORDS - 2:
+                yield first, raw[first: at - 1]
+            lines, short = 0, False
+        at += len(line) + 1
+
+
 def _lines(b: pa.RecordBatch, rid: np.ndarray, doc: pa.Array, seen: set, names: list, i64) -> Iterator[pa.RecordBatch]:
     texts, row, start = [], [], []
     for r, text in enumerate(b["text"].to_pylist()):
-        at = 0
-        for line in (text or "").encode().split(b"\n"):
-            if len(line) > 2 * LINE_WORDS - 2:
-                texts.append(line)
-                row.append(r)
-                start.append(at)
-            at += len(line) + 1
+        for at, paragraph in paragraphs(text):
+            texts.append(paragraph)
+            row.append(r)
+            start.append(at)
     if not texts:
         return
     row, start = np.array(row), np.array(start)
@@ -163,12 +181,12 @@ def _lines(b: pa.RecordBatch, rid: np.ndarray, doc: pa.Array, seen: set, names:
 
 
 def _line_sets(sent):
-    """Shingle sets of the wanted lines."""
+    """Shingle sets of the wanted paragraphs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = sent.value if sent is not None else None
         for b in batches:
-            lines = [x for t in b["text"].to_pylist() for x in (t or "").encode().split(b"\n") if len(x) > 2 * LINE_WORDS - 2]
+            lines = [x for t in b["text"].to_pylist() for _, x in paragraphs(t)]
             seen: set[int] = set()
             for p in pieces(pa.array(lines, pa.large_binary()).cast(pa.large_string())):
                 h, bounds = distinct(*shingles(p))

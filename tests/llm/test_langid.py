@@ -39,3 +39,14 @@ def test_odd_rows_and_empty_table(spark):
     assert all(r.lang_pred == "en" for r in rows if r.doc_id in (4, 5, 6))
     assert langid.identify(empty(spark)).collect() == []
     assert {r.lang_pred for r in langid.predict(odd(spark), {}).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned_from_large_tables(spark):
+    rows = [(i, f"the quick fox number {'abcdefgh'[i % 8] * 3} runs home", "en") for i in range(6000)]
+    rows += [(10_000 + i, "быстрая лиса бежит домой", "ru") for i in range(4)]
+    rows += [(None, "ταχεία αλεπού τρέχει", "el") for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = langid.learn(df, most_rows=600)
+    assert list(made) == ["el", "en", "ru"]
+    whole = langid.learn(df.where("lang = 'ru'"))
+    assert np.allclose(made["ru"], whole["ru"])

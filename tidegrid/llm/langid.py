@@ -28,6 +28,7 @@ DIM = 512
 SEED = 20240501
 UNKNOWN = "und"
 TRAIN_ROWS = 20_000  # expected number of training documents at most; a bounded sample is fitted
+LEAST_ROWS = 200  # but so many of each language, or all it has
 _BLANK = 32
 _KEEP = 40_000  # trigram vectors a worker keeps; others are made again when met
 _ALPHABET = 6_000  # letters it keeps; beyond that it starts anew
@@ -147,12 +148,18 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
           dim: int = DIM, seed: int = SEED) -> dict[str, np.ndarray]:
     """Unit prototypes of the languages in ``df`` (rows with a null language are left out).
 
-    At most about ``most_rows`` documents are learned from, chosen by a hash of their id.
+    Of larger tables every language has the same quota, of ``most_rows`` together but ``LEAST_ROWS`` at least: all
+    documents of a language up to the quota are learned from, of others about as many, chosen by a hash.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(uniform(id, seed=3) < most_rows / n)
+    u = uniform(id, F.xxhash64(text), seed=3)
+    # One row per language, as the result has.
+    sizes = rows.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"), F.min(u).alias("_first")).collect()
+    if sum(r["_n"] for r in sizes) > most_rows:
+        quota = max(most_rows / len(sizes), LEAST_ROWS)
+        shares = df.sparkSession.createDataFrame(
+            [(r["_lang"], max(quota / r["_n"], r["_first"])) for r in sizes], "_lang string, _share double")
+        rows = rows.join(F.broadcast(shares), F.col(lang) == F.col("_lang")).where(u <= F.col("_share"))
     parts = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(
         _bundle_task(dim, seed), "lang string, v array<double>")
     sums = (

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, htmltext, langid, mixing, neighbours, ngram_join, secrets, sharding, substrings, toxicity
+from tidegrid.llm import (
+    decontaminate, htmltext, langid, licenses, mixing, neighbours, ngram_join, secrets, sharding, substrings, toxicity, whitening,
+)
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
 
@@ -72,3 +74,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
     return pages.select("page_id", "visible_text", F.length("visible_text").alias("n_chars"))
+
+
+@query("op12_signature_licenses")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op13_feast_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(embeddings, whitening.learn(embeddings))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import (
-    decontaminate, htmltext, langid, licenses, mixing, neighbours, ngram_join, secrets, sharding, substrings, toxicity, whitening,
+    collocations, decontaminate, htmltext, langid, licenses, mixing, neighbours, ngram_join, secrets, sharding, substrings,
+    toxicity, whitening,
 )
 from tidegrid.llm.registry import query
 from tidegrid.sources.tables import table
@@ -85,3 +86,41 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     return whitening.whiten(embeddings, whitening.learn(embeddings))
+
+
+@query("op11_misra_gries_phrases", """
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents),
+words as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from pieces),
+total as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+places as (
+  select lang, w, size, unnest(range(1, len(w) - size + 2)) as pos
+  from words, (select unnest(range(1, 6)) as size) where len(w) >= size),
+counts as (
+  select lang, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') as phrase, count(*) as f
+  from places group by all having count(*) >= 100),
+phrases as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from counts where size > 1),
+cuts as (
+  select lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') as p, array_to_string(list_slice(w, k + 1, size), ' ') as q
+  from (select *, unnest(range(1, size)) as k from phrases)),
+scored as (
+  select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, t.n,
+         (cast(1000 as hugeint) * c.a * t.n) // (cast(x.f as hugeint) * y.f) as score
+  from cuts c join counts x on x.lang = c.lang and x.phrase = c.p join counts y on y.lang = c.lang and y.phrase = c.q
+  join total t on t.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select lang, a, array_to_string(list_slice(w, pos, pos + m - 1), ' ') as phrase
+  from (select *, unnest(range(1, size - m + 2)) as pos from (select *, unnest(range(2, size)) as m from phrases where size > 2))),
+kept as (
+  select * from best b where not exists (
+    select 1 from inside i where i.lang = b.lang and i.phrase = b.phrase and 100 * i.a >= 100 * b.a))
+select * from (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n,
+         cast(score as bigint) as score from kept) where rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(collocations.frequent(table(spark, sf_dir, "documents")))

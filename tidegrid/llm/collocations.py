@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,13 +219,17 @@ def _merged(capacity: int, least: int) -> Callable[[Batches], Batches]:
     return merge
 
 
+def hash_partitions(docs: DataFrame, counters: int, room: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counters // room))
+
+
 def survivors(docs: DataFrame, pick: Picker, mass: int, least: int, room: int = SUMMARY) -> DataFrame:
     """Staged hashes of all n-grams that may be found ``least`` times or more; ``mass`` bounds how many there are.
 
     ``room`` counters are the most that a hash partition may hold.
     """
     needed = mass // least + 1
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * needed // room))
+    parts = hash_partitions(docs, 2 * needed, room)
     while True:
         sums = docs.mapInArrow(_own_sums(pick), "h bigint, c bigint").repartition(parts, "h")
         out = stage(sums.mapInArrow(_merged(2 * needed // parts + 1, least), "h bigint, off bigint"), "frequent")
@@ -246,28 +251,40 @@ def gate(hashes: DataFrame):
 
 # Exact counts
 
+_FOUND = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+_DEALT = "part int, lang array<string>, size array<int>, phrase array<string>, f array<bigint>"
 
-def _counted(pick: Picker) -> Callable[[Batches], Batches]:
-    def phrase(r: Run, at: int, size: int) -> str:
-        return b" ".join([r.raw[a:b].tobytes() for a, b in zip(r.starts[at: at + size].tolist(), r.ends[at: at + size].tolist())]).translate(_LOWER).decode()
-
-    def flush(held: list[tuple[Run, int, np.ndarray, np.ndarray]], langs: pa.Array) -> Batches:
-        for size in range(1, LONGEST + 1):
-            found = [x for x in held if x[1] == size and len(x[2])]
-            if not found:
-                continue
-            h, first, c = np.unique(np.concatenate([x[3] for x in found]), return_index=True, return_counts=True)
-            ends = np.cumsum([len(x[2]) for x in found])
-            which = np.searchsorted(ends, first, side="right")
-            texts, rows = [], []
-            for k, i in zip(which.tolist(), (first - np.concatenate([[0], ends])[which]).tolist()):
-                r, _, places, _ = found[k]
-                at = int(places[i])
-                texts.append(phrase(r, at, size))
-                rows.append(int(r.row[at]))
-            yield pa.RecordBatch.from_pydict({
-                "lang": langs.take(pa.array(rows)), "size": pa.array([size] * len(h), pa.int32()), "phrase": pa.array(texts, pa.string()), "f": pa.array(c)})
 
+def _phrases(held: list[tuple[Run, int, np.ndarray, np.ndarray]], langs: pa.Array) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(hashes, phrases with their counts) of what was held of each size."""
+    for size in range(1, LONGEST + 1):
+        found = [x for x in held if x[1] == size and len(x[2])]
+        if not found:
+            continue
+        h, first, c = np.unique(np.concatenate([x[3] for x in found]), return_index=True, return_counts=True)
+        ends = np.cumsum([len(x[2]) for x in found])
+        which = np.searchsorted(ends, first, side="right")
+        texts, rows = [], []
+        for k, i in zip(which.tolist(), (first - np.concatenate([[0], ends])[which]).tolist()):
+            r, _, places, _ = found[k]
+            at = int(places[i])
+            words = zip(r.starts[at: at + size].tolist(), r.ends[at: at + size].tolist())
+            texts.append(b" ".join([r.raw[a:b].tobytes() for a, b in words]).translate(_LOWER).decode())
+            rows.append(int(r.row[at]))
+        yield h, pa.table([langs.take(pa.array(rows)), pa.array([size] * len(h), pa.int32()), pa.array(texts, pa.string()), pa.array(c)], schema=_FOUND)
+
+
+def _dealt(h: np.ndarray, found: pa.Table, parts: int) -> Batches:
+    """One row for each part, which holds the phrases whose hashes fall to it as arrays."""
+    part = (h % np.uint64(parts)).astype(np.int32)
+    found = found.take(pa.array(np.argsort(part, kind="stable"))).combine_chunks()
+    has, sizes = np.unique(part, return_counts=True)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in found.columns]
+    yield pa.RecordBatch.from_arrays([pa.array(has), *lists], names=["part", *found.schema.names])
+
+
+def _counted(pick: Picker, parts: int) -> Callable[[Batches], Batches]:
     def count(batches: Batches) -> Batches:
         for batch in batches:
             langs, words = batch.column("lang"), np.zeros(len(batch), dtype=np.int64)
@@ -279,15 +296,38 @@ def _counted(pick: Picker) -> Callable[[Batches], Batches]:
                     held.append((r, size, places, h[places]))
                 n += len(r.raw)
                 if n >= TEXT_FLUSH:
-                    yield from flush(held, langs)
+                    for h, found in _phrases(held, langs):
+                        yield from _dealt(h, found, parts)
                     held, n = [], 0
-            yield from flush(held, langs)
-            yield pa.RecordBatch.from_pydict({
-                "lang": langs, "size": pa.array([0] * len(batch), pa.int32()), "phrase": pa.array([""] * len(batch)), "f": pa.array(words)})
+            for h, found in _phrases(held, langs):
+                yield from _dealt(h, found, parts)
+            if len(batch):
+                total = pa.table({"lang": langs, "f": words}).group_by("lang").aggregate([("f", "sum")])
+                k = len(total)
+                found = pa.table([total["lang"], pa.array([0] * k, pa.int32()), pa.array([""] * k), total["f_sum"]], schema=_FOUND)
+                yield from _dealt(language_keys(found["lang"].combine_chunks()), found, parts)
 
     return count
 
 
+def _added_up(least: int) -> Callable[[Batches], Batches]:
+    def add(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")]).rename_columns(_FOUND.names)
+
+    def add_up(batches: Batches) -> Batches:
+        held, n = [], 0
+        for b in batches:
+            held.append(pa.table([b.column(c).flatten() for c in _FOUND.names], schema=_FOUND))
+            n += len(held[-1])
+            if n > 2 * max(len(held[0]), FLUSH >> 4):
+                held, n = [add(held)], 0
+        if held:
+            found = add(held)
+            yield from found.filter(pc.or_(pc.greater_equal(found["f"], least), pc.equal(found["size"], 0))).to_batches()
+
+    return add_up
+
+
 def frequent(df: DataFrame, least: int = 100, text: str = "text", lang: str = "lang", room: int = SUMMARY) -> DataFrame:
     """Staged exact counts: lang, size, phrase, f of all phrases of 1 to 5 words found ``least`` times or more.
 
@@ -303,9 +343,9 @@ def frequent(df: DataFrame, least: int = 100, text: str = "text", lang: str = "l
     gates.append(gate(pairs))
     runs_ = survivors(docs, candidates(gates, False), (LONGEST - 2) * mass, least, room)
     gates.append(gate(words.unionAll(pairs).unionAll(runs_)))
-    counts = docs.mapInArrow(_counted(candidates(gates, True)), "lang string, size int, phrase string, f bigint")
-    counts = counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    out = stage(counts.where((F.col("f") >= least) | (F.col("size") == 0)), "phrase-counts")
+    parts = hash_partitions(docs, 2 * LONGEST * (mass // least + 1), room)
+    counts = docs.mapInArrow(_counted(candidates(gates, True), parts), _DEALT).repartition(parts, "part")
+    out = stage(counts.mapInArrow(_added_up(least), "lang string, size int, phrase string, f bigint"), "phrase-counts")
     for used in (words, pairs, runs_):
         release(used)
     for g in gates:

@@ -204,7 +204,7 @@ def _numbered(version: str) -> str:
     """How a version follows a name: ``2.0`` also as ``v2``, ``version 2`` and so on."""
     major, minor = version.split(".")
     tail = rf"(?: {minor})?" if minor == "0" else rf" {minor}"
-    return rf"(?: licen[sc]e| international| unported| generic)?(?: version| ver| v)? ?v?{major}{tail}(?! [0-9])"
+    return rf"(?: licen[sc]e| international| unported| generic)?(?: version| ver| v)? v?{major}{tail}(?! [0-9])"
 
 
 def _rule(label: str, form: str, rank: int, weight: float, needs: tuple[str, ...], pattern: str) -> Rule:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import geo, timeops
@@ -165,31 +165,53 @@ def tick_bundle(df: DataFrame, now: str, trailing_hours: float, step_hours: floa
     }
 
 
-def ticks(df: DataFrame, start: str, end: str, trailing_hours: float, step_hours: float) -> DataFrame:
-    """Counts of every playback tick between two times, in one pass.
+def _since(ts: Column, start: str) -> Column:
+    return F.unix_micros(ts.cast("timestamp")) - F.unix_micros(stamp(start).cast("timestamp"))
+
+
+def ticks_since(ts: Column, start: str, step_hours: float) -> Column:
+    """How many ticks of a clock that starts at ``start`` lie at or before a time."""
+    return F.floor(_since(ts, start) / F.lit(int(step_hours * 3600e6)))
+
+
+def tick_number(spark: SparkSession, start: str, end: str, step_hours: float) -> int:
+    return spark.range(1).select(ticks_since(stamp(end), start, step_hours)).first()[0]
+
+
+def tick_hits(df: DataFrame, start: str, last: int | Column | None, trailing_hours: float, step_hours: float) -> DataFrame:
+    """Posts per tick, for ticks with posts: (tick, count).
 
     A post belongs to the few ticks whose closed trailing range holds it. Their numbers follow from its
     time, so posts are exploded to ticks by arithmetic and no range join is needed.
     """
-    t0 = F.unix_micros(stamp(start).cast("timestamp"))
-    last = F.floor((F.unix_micros(stamp(end).cast("timestamp")) - t0) / F.lit(int(step_hours * 3600e6)))
     step, trail = int(step_hours * 3600e6), int(trailing_hours * 3600e6)
-    off = F.unix_micros(F.col("created_time").cast("timestamp")) - t0
+    off = _since(F.col("created_time"), start)
     first_tick = F.greatest(F.lit(1), F.ceil(off / F.lit(step)))
-    last_tick = F.least(last, F.floor((off + trail) / F.lit(step)))
-    hits = (
+    last_tick = F.floor((off + trail) / F.lit(step))
+    if last is not None:
+        last_tick = F.least(last if isinstance(last, Column) else F.lit(last), last_tick)
+    return (
         df.select(first_tick.alias("a"), last_tick.alias("b"))
         .where("a <= b")
         .select(F.explode(F.sequence("a", "b")).alias("tick"))
         .groupBy("tick")
         .agg(F.count("*").alias("count"))
     )
+
+
+def tick_rows(hits: DataFrame, start: str, step_hours: float) -> DataFrame:
+    """Ticks with their time and count (0 where it is null)."""
+    t0, step = F.unix_micros(stamp(start).cast("timestamp")), int(step_hours * 3600e6)
+    return hits.select(
+        "tick", timeops.ntz(F.timestamp_micros(t0 + F.col("tick") * step)).alias("now"), F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
+
+
+def ticks(df: DataFrame, start: str, end: str, trailing_hours: float, step_hours: float) -> DataFrame:
+    """Counts of every playback tick between two times, in one pass."""
+    last = ticks_since(stamp(end), start, step_hours)
+    hits = tick_hits(df, start, last, trailing_hours, step_hours)
     clock = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("tick"))
-    return clock.join(hits, "tick", "left").select(
-        "tick",
-        timeops.ntz(F.timestamp_micros(t0 + F.col("tick") * step)).alias("now"),
-        F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
-    )
+    return tick_rows(clock.join(hits, "tick", "left"), start, step_hours)
 
 
 def square_grid(df: DataFrame, box: Box, side_miles: float = 1.0) -> DataFrame:

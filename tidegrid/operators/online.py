@@ -34,15 +34,18 @@ def _close(z: np.ndarray, sd: np.ndarray, at: np.ndarray, sigma: float, close: f
 
 
 def online_density(
-    rows: DataFrame, dims: list[str], memory: int, sigma: float, close: float
+    rows: DataFrame, dims: list[str], memory: int, sigma: float, close: float, seen: int = 0
 ) -> DataFrame:
-    """Add ``n_close`` and the trailing deviations to numbered rows (``seq`` from 1); the first ``memory`` rows are history."""
+    """Add ``n_close`` and the trailing deviations to numbered rows (``seq`` from 1); the first ``memory`` rows are history.
+
+    Rows up to ``seen`` only serve as memory of the later ones.
+    """
     names = [f"sd{i}" for i in range(len(dims))]
 
     def per_group(key, g):
         g = g.sort_values("seq", ignore_index=True)
         seq, z = g["seq"].to_numpy(), g[dims].to_numpy()
-        own = np.flatnonzero(g["block"].to_numpy() == key[0])
+        own = np.flatnonzero((g["block"].to_numpy() == key[0]) & (seq > seen))
         sd = np.zeros((len(g), len(dims)))
         n_close = np.zeros(len(g), dtype=np.int64)
         full = own[seq[own] > memory]
@@ -74,9 +77,27 @@ def online_votes(
     are measured in sample deviations over the post and its memory.
     """
     rows = numbered(posts.select(*dict.fromkeys(["id", *order, *dims])), order, name="seq")
-    scored = cut(online_density(rows, dims, memory, sigma, close))
-    crowd = scored.where(F.col("n_close") > dense)
+    return online_step(rows, None, 0, 0, dims, memory, sigma, close, dense).drop(*dims)
+
+
+def online_step(
+    rows: DataFrame, prior: DataFrame | None, seen: int, opened: int, dims: list[str], memory: int, sigma: float, close: float, dense: int
+) -> DataFrame:
+    """:func:`online_votes` of the rows numbered after ``seen``, given the last rows before them: (id, seq, dims, n_close, cl).
+
+    ``prior`` has id, seq, dims and cl of the last ``memory`` rows (all, if fewer); ``opened`` clusters were opened so far.
+    """
     names = [f"sd{i}" for i in range(len(dims))]
+    base = rows.select("id", "seq", *dims)
+    if prior is not None:
+        base = base.unionByName(prior.select("id", "seq", *dims))
+    scored = cut(online_density(base, dims, memory, sigma, close, seen))
+    crowd = scored.where(F.col("n_close") > dense).withColumn("cl", F.lit(0).cast("bigint"))
+    if prior is not None:  # labelled posts of the memory can be followed, and follow nobody themselves
+        known = prior.where("cl <> 0").select(
+            "id", "seq", F.floor((F.col("seq") - 1) / F.lit(memory)).cast("bigint").alias("block"), *dims,
+            *[F.lit(0.0).alias(n) for n in names], F.lit(0).cast("bigint").alias("n_close"), "cl")
+        crowd = crowd.unionByName(known)
 
     def links(g: pd.DataFrame, block: int):
         """Sorted group, and which earlier dense posts each dense post of the block follows."""
@@ -89,11 +110,12 @@ def online_votes(
             at = own[start : start + _CHUNK]
             gap = seq[at][:, None] - seq[None, :]
             follows[start : start + _CHUNK] = _close(z, sd[at], at, sigma, close) & (gap >= 1) & (gap <= memory)
+        follows[seq[own] <= seen] = False
         return g, own, follows
 
     def find_openers(key, g):
         g, own, follows = links(g, key[0])
-        return g.loc[own[~follows.any(axis=1)], ["seq"]]
+        return g.loc[own[~follows.any(axis=1) & (g["seq"].to_numpy()[own] > seen)], ["seq"]]
 
     def transfer(key, g):
         g, own, follows = links(g, key[0])
@@ -132,10 +154,11 @@ def online_votes(
 
     grouped = _two_blocks(crowd)
     openers = numbered(cut(grouped.groupBy("grp").applyInPandas(find_openers, "seq bigint")), ["seq"], name="_no")
-    openers = cut(openers.select("seq", F.col("_no").cast("string").alias("_text")))
-    texts = numbered(openers, ["_text"], name="label").select("seq", "_text", "label")
-    texts = cut(texts)
-    labelled = crowd.join(texts.select("seq", "label"), "seq", "left").withColumn("label", F.coalesce("label", F.lit(0).cast("bigint")))
+    openers = cut(openers.select("seq", (F.col("_no") + F.lit(opened)).cast("bigint").alias("cl")))
+    named = crowd.join(openers.withColumnRenamed("cl", "_own"), "seq", "left").withColumn("cl", F.coalesce("_own", "cl")).drop("_own")
+    texts = named.where("cl <> 0").select("cl", F.col("cl").cast("string").alias("_text")).distinct()
+    texts = cut(numbered(texts, ["_text"], name="label").select("cl", "label"))
+    labelled = named.join(texts, "cl", "left").withColumn("label", F.coalesce("label", F.lit(0).cast("bigint")))
     schema = "block bigint, seqs array<bigint>, wide bigint, reach binary, top array<bigint>"
     moves = cut(_two_blocks(labelled).groupBy("grp").applyInPandas(transfer, schema))
     ends = moves.agg(F.min("block"), F.max("block")).first()
@@ -147,5 +170,5 @@ def online_votes(
             break
         step *= 2
     labels = moves.select(F.explode(F.arrays_zip("seqs", "top")).alias("p")).select(F.col("p.seqs").alias("seq"), F.col("p.top").alias("label"))
-    named = labels.join(texts.select("label", F.col("_text").cast("bigint").alias("cl")), "label").select("seq", "cl")
-    return scored.join(named, "seq", "left").select("id", "seq", "n_close", F.coalesce("cl", F.lit(0).cast("bigint")).alias("cl"))
+    named = labels.join(texts, "label").select("seq", "cl")
+    return scored.join(named, "seq", "left").select("id", "seq", *dims, "n_close", F.coalesce("cl", F.lit(0).cast("bigint")).alias("cl"))

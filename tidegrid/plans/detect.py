@@ -7,7 +7,7 @@ from tidegrid.operators import detect, online
 from tidegrid.operators.rank import count_windows
 from tidegrid.plans.registry import query
 from tidegrid.schema import ONLINE_MEMORY, ONLINE_VOTE
-from tidegrid.sources.tables import over_points, over_posts, points, posts
+from tidegrid.sources.tables import caption, over_points, over_posts, place, points, table
 
 WINDOWS_CTE = (
     "s as (select id, created_time, lat, lon, row_number() over (order by created_time, id) as seq, count(*) over () as n from points)",
@@ -58,7 +58,13 @@ def detect_events(spark, d):
        using (win, cl)""", *DETECT_CTE).replace("with ", "with recursive ", 1))
 def event_summary(spark, d):
     found = detect.detect_events(points(spark, d))
-    ev = detect.event_summary(found, posts(spark, d), ["win"])
+    members = found.where("cl <> 0").select("id").distinct()
+    p = place(table(spark, d, "events"))
+    return flat_events(detect.event_summary(found, caption(p.join(members, "id", "left_semi"), table(spark, d, "documents")), ["win"]))
+
+
+def flat_events(ev):
+    """Events with rounded ranges and their tags as one text, as the oracle gives them."""
     tags = F.array_join(F.transform("hashtags", lambda t: F.concat(t["tag"], F.lit(":"), t["n"].cast("string"))), " ")
     r = lambda c: F.round(c, 6)
     return ev.select("win", "cl", "posts", r("lat.min").alias("lat_min"), r("lat.max").alias("lat_max"),

@@ -1,11 +1,19 @@
 """Streaming queries: each runs a stream over the events table to its end and returns the resulting table."""
 
-from tidegrid.plans.grid import sql_geohash
-from tidegrid.plans.registry import query
+from tidegrid.functions import timeops
+from tidegrid.plans import detect, grid  # noqa: F401  (their oracles also hold for the streams)
+from tidegrid.plans.grid import DATA_END, DATA_START, sql_geohash
+from tidegrid.plans.registry import ORACLES, query
 from tidegrid.plans.text import STOP_SQL, WORDS_CTE
-from tidegrid.sources.streams import EVENTS_SCHEMA, table_stream
-from tidegrid.sources.tables import caption, over_points, over_posts, place, table
+from tidegrid.schema import ONLINE_MEMORY, ONLINE_VOTE
+from tidegrid.sources.streams import EVENTS_SCHEMA, replay_stream, table_stream
+from tidegrid.sources.tables import caption, over_points, over_posts, place, points, posts, table
 from tidegrid.streaming import live
+from tidegrid.streaming.detector import WindowDetector
+from tidegrid.streaming.votes import OnlineVotes
+
+FILES = 4  # a replayed table comes in so many files, one to a batch
+ARRIVAL = ["created_time", "id"]
 
 
 def event_stream(spark, d):
@@ -35,3 +43,37 @@ def sliding_grid(spark, d):
     from points group by 1"""))
 def hourly_update(spark, d):
     return live.hourly_update(event_stream(spark, d))
+
+
+@query("stream_online_vote", ORACLES["online_vote"])
+def stream_online_vote(spark, d):
+    """Every post votes against the 2000 posts before it, batch by batch."""
+    p = points(spark, d).select("id", "created_time", "lat", "lon", timeops.days("created_time").alias("ntime"))
+    v = ONLINE_VOTE
+    votes = OnlineVotes(spark, ARRIVAL, ["lat", "lon", "ntime"], ONLINE_MEMORY, v.sigma, v.close, v.dense)
+    return votes.run(replay_stream(p, ARRIVAL, FILES))
+
+
+@query("stream_detect_events", ORACLES["event_summary"])
+def stream_detect_events(spark, d):
+    """Events of every full count window of a stream."""
+    arrivals = posts(spark, d).select("id", "created_time", "lat", "lon", "text")
+    return detect.flat_events(WindowDetector(spark).run(replay_stream(arrivals, ARRIVAL, FILES)))
+
+
+@query("stream_step_images", over_points("""
+    select id, lat, lon, start, rank from (
+      select *, cast(row_number() over (partition by start order by created_time desc, id) as integer) as rank
+      from (select *, time_bucket(interval 30 minute, created_time) as start from points)) where rank <= 10"""))
+def stream_step_images(spark, d):
+    """The newest posts of every half hour, each given out once its half hour is over."""
+    feed = live.StepImages(spark, "lat double, lon double")
+    p = points(spark, d).select("id", "created_time", "lat", "lon")
+    return feed.run(replay_stream(p, ARRIVAL, FILES)).select("id", "lat", "lon", "start", "rank")
+
+
+@query("stream_ticks", ORACLES["tick_table"])
+def stream_ticks(spark, d):
+    """The ticks of a clock that a stream of posts drives."""
+    clock = live.Ticker(spark, DATA_START, DATA_END, 1.0, 0.5)
+    return clock.run(replay_stream(points(spark, d).select("id", "created_time"), ARRIVAL, FILES))

@@ -32,6 +32,22 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def replay_stream(df: DataFrame, order: list[str], files: int) -> DataFrame:
+    """A table as a stream in the order of some columns, one file to a batch.
+
+    Rows are range-partitioned into about so many files, whose times are then set one after another, because a
+    file stream takes files by time.
+    """
+    spark, path = df.sparkSession, work_dir(df.sparkSession, "replay")
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s.getPath() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))), key=str)
+    for i, p in enumerate(found):
+        fs.setTimes(p, 1_000_000_000_000 + 1000 * i, -1)
+    return file_stream(spark, path, df.schema)
+
+
 def kafka_stream(spark: SparkSession, servers: str, topics: list[str], start: str = "earliest", **options: str) -> DataFrame:
     """Messages of one or more topics as (topic, value, timestamp). Needs the Kafka connector on the class path.
 

@@ -2,67 +2,90 @@
 
 Arrivals are numbered and appended to a log table in the shared folder. A window fires after every ``hop``
 arrivals once ``size`` rows exist and reads its rows back from the log, so the stream keeps no rows in
-memory, and a repeated batch finds the log as it was before its first attempt.
+memory, and a repeated batch finds the log as it was before its first attempt. Batches of the log that no
+window to come can reach are deleted, so the log holds about one window and the newest batches. Log, count of
+arrivals, events and offsets lie below one folder: with the same folder a new query goes on where one stopped.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidegrid.operators import detect
 from tidegrid.operators.rank import numbered
 from tidegrid.schema import HOP_ROWS, STREAM_DETECTOR, WINDOW_ROWS, Detector
 from tidegrid.session import work_dir
-from tidegrid.streaming.upsert import run_batches
+from tidegrid.streaming.state import Carried, delete, matching, read_batches
+from tidegrid.streaming.upsert import run_batches, start_batches
 
-_LOG = "id string, created_time timestamp_ntz, lat double, lon double, text string, seq bigint, batch bigint"
-_TOTALS = "total bigint, batch bigint"
+_LOG = "id string, created_time timestamp_ntz, lat double, lon double, text string, seq bigint"
+_EVENTS = (
+    "win bigint, cl bigint, posts bigint, hashtags array<struct<tag:string,n:bigint>>, "
+    "lat struct<min:double,max:double>, lon struct<min:double,max:double>"
+)
 
 
 class WindowDetector:
     """Feeds micro-batches into the detector: use :meth:`process` with ``foreachBatch``."""
 
-    def __init__(self, spark: SparkSession, size: int = WINDOW_ROWS, hop: int = HOP_ROWS, p: Detector = STREAM_DETECTOR):
+    def __init__(self, spark: SparkSession, size: int = WINDOW_ROWS, hop: int = HOP_ROWS, p: Detector = STREAM_DETECTOR,
+                 root: str | None = None):
         self.size, self.hop, self.p = size, hop, p
-        self.log, self.out = work_dir(spark, "arrivals"), work_dir(spark, "events")
-        self.totals = work_dir(spark, "totals")
+        self.root = root or work_dir(spark, "detector")
+        self.log, self.out = f"{self.root}/arrivals", f"{self.root}/events"
+        self.totals = Carried(spark, f"{self.root}/totals", "total bigint")
 
-    def _before(self, spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:
-        """Rows that batches before one wrote; partition pruning skips the rest."""
-        try:
-            return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # no batch has written yet
-                raise
-            return spark.createDataFrame([], schema)
+    def _logged(self, spark: SparkSession, batch: int) -> list[tuple[int, int, str]]:
+        """(first, last, path) of the rows of each kept batch up to this one; they stand in the folder names."""
+        found = []
+        for path in matching(spark, f"{self.log}/batch=*/rows=*"):
+            first, last = path.rsplit("rows=", 1)[1].split("-")
+            if int(path.split("/batch=")[1].split("/")[0]) <= batch:
+                found.append((int(first), int(last), path))
+        return sorted(found)
 
     def process(self, df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        # One row per earlier batch; the log itself is not read for this.
-        seen = self._before(spark, self.totals, _TOTALS, batch).agg(F.max("total")).first()[0] or 0
+        before = self.totals.before(batch).first()
+        seen = before["total"] if before else 0
         new = numbered(df.select("id", "created_time", "lat", "lon", "text"), ["created_time", "id"], name="seq")
-        new.withColumn("seq", F.col("seq") + F.lit(seen)).write.mode("overwrite").parquet(f"{self.log}/batch={batch}")
-        total = seen + spark.read.parquet(f"{self.log}/batch={batch}").count()
-        spark.createDataFrame([(total,)], "total bigint").write.mode("overwrite").parquet(f"{self.totals}/batch={batch}")
-        first = max(seen // self.hop + 1, self.size // self.hop)
-        last = total // self.hop
+        total = seen + new.count()
+        delete(spark, f"{self.log}/batch={batch}")
+        if total > seen:
+            new.withColumn("seq", F.col("seq") + F.lit(seen)).write.parquet(f"{self.log}/batch={batch}/rows={seen + 1}-{total}")
+        self._fire(spark, seen, total, batch)
+        self.totals.write(spark.createDataFrame([(total,)], "total bigint"), batch)
+        # A repeat of this batch starts from ``seen``; no window after that reaches further back.
+        oldest = self._first_window(seen) * self.hop - self.size
+        for _, last, path in self._logged(spark, batch):
+            if last <= oldest:
+                delete(spark, path.rsplit("/rows=", 1)[0])
+
+    def _first_window(self, seen: int) -> int:
+        return max(seen // self.hop + 1, self.size // self.hop)
+
+    def _fire(self, spark: SparkSession, seen: int, total: int, batch: int) -> None:
+        first, last = self._first_window(seen), total // self.hop
         if first > last:
             return
-        rows = self._before(spark, self.log, _LOG, batch + 1).where(
-            (F.col("seq") > first * self.hop - self.size) & (F.col("seq") <= last * self.hop)
-        )
+        low, high = first * self.hop - self.size, last * self.hop
+        paths = [p for a, b, p in self._logged(spark, batch) if b > low and a <= high]
+        rows = spark.read.schema(_LOG).parquet(*paths).where((F.col("seq") > low) & (F.col("seq") <= high))
         a = F.greatest(F.ceil(F.col("seq") / F.lit(self.hop)).cast("bigint"), F.lit(first))
         b = F.least(F.ceil(F.col("seq") / F.lit(self.hop)).cast("bigint") + (self.size // self.hop - 1), F.lit(last))
         windows = rows.withColumn("win", F.explode(F.sequence(a, b))).withColumn(
             "pos", F.col("seq") - (F.col("win") * self.hop - self.size)
         )
-        found = detect.detect_in_windows(windows.drop("text", "batch"), self.size, self.p)
+        found = detect.detect_in_windows(windows.drop("text"), self.size, self.p)
         events = detect.event_summary(found, rows.select("id", "text"), ["win"])
         events.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
 
+    def start(self, posts: DataFrame, every: str) -> StreamingQuery:
+        return start_batches(posts, "detector", self.process, offsets=f"{self.root}/offsets", every=every)
+
     def run(self, posts: DataFrame) -> DataFrame:
-        """Process everything available; returns the events."""
-        run_batches(posts, "detector", self.process)
-        return posts.sparkSession.read.parquet(self.out).drop("batch")
+        """Process everything available; returns the events so far."""
+        run_batches(posts, "detector", self.process, offsets=f"{self.root}/offsets")
+        return read_batches(posts.sparkSession, self.out, _EVENTS)

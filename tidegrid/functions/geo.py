@@ -139,33 +139,22 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def hex_cell(x: Column | str, y: Column | str, radius: float) -> Column:
     """Hexagon (column, row) and centre of a planar point; odd rows are shifted half a column right.
 
-    The point belongs to the closer of two centres: one in the rounded row, one in the next row on
-    the point's side. Distances are measured in lattice units, the next row is looked at only when
-    the point is more than a third of a row away, and halves round up.
+    Of the rows below and above the point each offers its closest centre, and the closer of the two is taken,
+    with distances in columns and rows. Of equally close ones the nearer row is taken, then the upper.
     """
-    dx, dy = radius * math.sqrt(3.0), radius * 1.5
-    v, u = _c(x) / F.lit(dx), _c(y) / F.lit(dy)
-
-    def shift(row: Column) -> Column:
-        return F.pmod(row, F.lit(2)) / F.lit(2.0)
-
-    def candidate(row: Column) -> tuple[Column, Column]:
-        col = F.floor(v - shift(row) + 0.5)
-        return col, F.pow(v - shift(row) - col, 2) + F.pow(u - row, 2)
-
-    near = F.floor(u + 0.5)
-    other = F.when(u < near, near - 1).otherwise(near + 1)
-    near_col, near_d = candidate(near)
-    other_col, other_d = candidate(other)
-    take_other = (F.abs(u - near) * 3 > 1) & (other_d < near_d)
-    row = F.when(take_other, other).otherwise(near).cast("bigint")
-    col = F.when(take_other, other_col).otherwise(near_col).cast("bigint")
-    return F.struct(
-        col.alias("i"),
-        row.alias("j"),
-        ((col + shift(row)) * F.lit(dx)).alias("x"),
-        (row * F.lit(dy)).alias("y"),
-    )
+    wide, high = radius * math.sqrt(3.0), radius * 1.5
+    across, up = _c(x) / F.lit(wide), _c(y) / F.lit(high)
+
+    def offer(row: Column) -> Column:
+        shift = F.when(row % 2 == 0, 0.0).otherwise(0.5)
+        col = F.floor(across - shift + 0.5)
+        apart = F.pow(across - shift - col, 2) + F.pow(up - row, 2)
+        return F.struct(
+            apart.alias("apart"), F.abs(up - row).alias("rows"), (-row).alias("upper"),
+            col.cast("bigint").alias("i"), row.cast("bigint").alias("j"), (col + shift).alias("place"))
+
+    best = F.least(offer(F.floor(up)), offer(F.floor(up) + 1))
+    return F.struct(best["i"].alias("i"), best["j"].alias("j"), (best["place"] * F.lit(wide)).alias("x"), (best["j"] * F.lit(high)).alias("y"))
 
 
 def tile_xy(lat: Column | str, lon: Column | str, zoom: int) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.binning import equal_bin, sturges
-from tidegrid.operators.rank import join_on, previous, running_sum
+from tidegrid.operators.rank import join_on, numbered, previous, running_sum
 from tidegrid.session import cut
 
 
@@ -186,8 +186,9 @@ def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A repeatable random order."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """A repeatable random order: ``place`` from 1, by a digest of the key, which may be of any type."""
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return numbered(df, [digest, F.col(key)], name="place").orderBy("place")
 
 
 def stacked(series: DataFrame, x: str, name: str, value: str, names: list[str] | None = None, offset: str = "zero") -> DataFrame:

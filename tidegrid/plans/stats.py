@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidegrid.functions import binning, timeops
+from tidegrid.functions import binning, containers, timeops
 from tidegrid.operators import grid, stats
 from tidegrid.plans.grid import sql_geohash
 from tidegrid.plans.registry import query
@@ -184,11 +184,72 @@ def consecutive_pairs(spark, d):
     return p.select("user_id", "event_id", "prev_event_id", gap.alias("gap_sec"))
 
 
-@query("hash_shuffle")
+@query("hash_shuffle", """
+    select event_id, event_type, row_number() over (order by md5(concat(event_id, ':7')), event_id) as place from events""")
 def hash_shuffle(spark, d):
     return stats.shuffled(table(spark, d, "events").select("event_id", "event_type"), "event_id", 7)
 
 
+TYPE_COUNTS = "c as (select user_id, event_type, count(*) as n from events group by 1, 2)"
+
+
+@query("map_entries", f"""
+    with {TYPE_COUNTS}
+    select user_id, string_agg(event_type, ',' order by event_type) as keys, string_agg(n, ',' order by event_type) as counts,
+           cast(count(*) as integer) as size, bool_or(event_type = 'purchase') as bought from c group by 1""")
+def map_entries(spark, d):
+    """Each user's map of event types to counts, taken apart again."""
+    m = containers.map_of(table(spark, d, "events"), ["user_id"], "event_type", F.count("*"))
+    return m.select(
+        "user_id", F.array_join(containers.keys("map"), ",").alias("keys"),
+        F.array_join(F.transform(containers.values("map"), lambda v: v.cast("string")), ",").alias("counts"),
+        F.size("map").alias("size"), containers.has("map", "purchase").alias("bought"))
+
+
+@query("map_overlay", f"""
+    with {TYPE_COUNTS}, t as (select unnest(['click', 'error', 'never', 'view']) as event_type, -1 as n),
+    u as (select distinct user_id from c),
+    b as (select user_id, event_type, coalesce(c.n, x.least) as n
+          from (select user_id, event_type, t.n as least from u, t) x left join c using (user_id, event_type)
+          union select * from c)
+    select user_id, event_type as key, n as value from b where event_type <> 'error'""")
+def map_overlay(spark, d):
+    """Counts laid over a map of fallbacks, without one key."""
+    m = containers.map_of(table(spark, d, "events"), ["user_id"], "event_type", F.count("*"))
+    fallback = F.create_map(*[x for t in ("click", "error", "never", "view") for x in (F.lit(t), F.lit(-1).cast("bigint"))])
+    both = containers.without(containers.overlaid(fallback, "map"), "error")
+    return m.select("user_id", F.explode(containers.entries(both)).alias("e")).select("user_id", "e.key", "e.value")
+
+
+@query("array_zip", """
+    with l as (select l_orderkey, l_linenumber, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber) as i,
+                      row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber desc) as j,
+                      count(*) over (partition by l_orderkey) as n from lineitem)
+    select a.l_orderkey as order_key, cast(a.i - 1 as integer) as place, a.l_linenumber as line, b.l_quantity as quantity
+    from l a join l b on a.l_orderkey = b.l_orderkey and a.i = b.j where a.i <= greatest(1, a.n - 1)""")
+def array_zip(spark, d):
+    """The lines of each order beside its largest quantities; the second list is one shorter (of a single line it is not)."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(  # an order has at most seven lines
+        F.array_sort(F.collect_list("l_linenumber")).alias("lines"),
+        F.sort_array(F.collect_list(F.struct("l_quantity", "l_linenumber")), asc=False).alias("large"))
+    top = F.transform(F.slice("large", F.lit(1), F.greatest(F.size("large") - 1, F.lit(1))), lambda q: q["l_quantity"])
+    z = lines.select(F.col("l_orderkey").alias("order_key"), F.posexplode(containers.zipped("lines", top)).alias("place", "z"))
+    return z.select("order_key", "place", F.col("z.f0").alias("line"), F.col("z.f1").alias("quantity"))
+
+
+@query("array_merge_range", """
+    select p_partkey as part, value from (
+      select p_partkey, unnest(list_transform(range(0, cast(ceil((p_size - 0.5e0) / 2.5e0) as bigint)), lambda i: 0.5e0 + i * 2.5e0)) as value from part
+      union all
+      select p_partkey, unnest(list_transform(range(0, cast(ceil(p_size / 10e0) as bigint)), lambda i: p_size - i * 10e0)) as value from part)""")
+def array_merge_range(spark, d):
+    """An upward and a downward range per part, merged into one list."""
+    up = containers.span(0.5, F.col("p_size").cast("double"), 2.5)
+    down = containers.span(F.col("p_size").cast("double"), 0.0, -10.0)
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("part"), containers.merged(F.array(up, down)).alias("all"))
+    return rows.select("part", F.explode("all").alias("value"))
+
+
 STACK = """
     n as (select date_trunc('day', ts) as day, event_type, count(*)::double as y from events group by 1, 2),
     f as (select d.day, t.event_type, coalesce(n.y, 0) as y from (select distinct day from n) d

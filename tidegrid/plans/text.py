@@ -103,7 +103,9 @@ def topic_demux(spark, d):
     return messages.groupBy("topic").agg(F.count("*").alias("messages")).join(good, "topic")
 
 
-@query("urlencode")
+@query("urlencode", """
+    select event_id, 'type=' || replace(url_encode(event_type), '%20', '+') || '&value=' || replace(url_encode(cast(value as varchar)), '%20', '+')
+           || '&props=' || replace(url_encode(props), '%20', '+') as query from events""")
 def urlencode(spark, d):
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
     pairs = F.array(pair("type", F.col("event_type")), pair("value", F.col("value")), pair("props", F.col("props")))

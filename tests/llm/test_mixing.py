@@ -78,3 +78,33 @@ def test_rows_are_repeated_as_often_as_taken(spark, sf_dir):
     assert got == {k: c for k, c in copies.items() if c}
     assert mixing.repeated(odd(spark)).columns == odd(spark).columns
     assert mixing.repeated(empty(spark)).collect() == []
+
+
+def _third_equal(spark, docs=300, words=10):
+    """One source in which a third of the rows are one repeated row."""
+    return spark.range(docs).select(
+        F.when(F.col("id") < docs // 3, -1).otherwise(F.col("id")).alias("doc_id"),
+        F.expr(f"repeat('word ', {words})").alias("text"), F.lit("a").alias("source")).repartition(4)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_rows_are_taken_one_by_one(spark, seed):
+    df = _third_equal(spark).withColumn("doc_id", F.when(F.col("doc_id") < 0, -1 - seed).otherwise(F.col("doc_id")))
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 300 and abs(sum(r.taken for r in rows) - 4500) <= 10
+    assert all(r.taken <= 2 * r.size for r in rows)
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_mixed_rows_repeat_as_often_as_they_are_taken(spark, seed):
+    df = _third_equal(spark).withColumn("doc_id", F.when(F.col("doc_id") < 0, -1 - seed).otherwise(F.col("doc_id")))
+    df = df.unionByName(df.limit(50).withColumn("source", F.lit(None).cast("string"))).withColumn("extra", F.monotonically_increasing_id())
+    df = spark.createDataFrame(df.collect(), df.schema)
+    want = {(r.source, r.doc_id): r.t for r in mixing.mix(df).groupBy("source", "doc_id").agg(F.sum("copies").alias("t")).collect() if r.t}
+    got = mixing.repeated(df)
+    assert got.columns == df.columns
+    assert {(r.source, r.doc_id): r["count"] for r in got.groupBy("source", "doc_id").count().collect()} == want
+    each = got.groupBy("extra").count().agg(F.max("count")).first()[0]
+    assert each <= 2

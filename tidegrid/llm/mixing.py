@@ -5,12 +5,13 @@ source whose target is e + f times its size takes e complete epochs and then doc
 the fraction f of its words. Taken words differ from the target by half a document at most.
 
 No source is sorted whole: about sqrt(n) key buckets per source are summed, and only the documents of the
-one bucket in which the target ends are ordered. What is left is one row per source, and each document
-decides from it alone.
+one bucket in which the target ends are ordered, equal ones as one. What is left is one row per source, and each
+document decides from it alone.
 
 Defined results: null text and text without words have size 0 and take no words; a null source is a source
 of its own, last in order; a null weight counts as 1; weights must be above 0; repeated rows take part one
-by one and, having equal keys, are interchangeable; an empty table gives no rows.
+by one: they have one key and are summed up under it, and where the target ends among them as many are taken as
+fit, whichever; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,22 +29,28 @@ MOST = 2.0  # times the size of a source
 FEW_SOURCES = 10_000
 
 
+def _named(source: str) -> Column:
+    """Name of a source that null has too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+
+
 def keyed(df: DataFrame, weights: DataFrame | None = None, id: str = "doc_id", text: str = "text", source: str = "source",
           seed: int = 17) -> DataFrame:
     """One slim row per document: doc_id, source and what the decision needs. Texts are not shuffled.
 
     ``weights`` has the columns doc_id and weight, each id once. Added are _size, _source, _e (place of the
-    exponential key in 0..1) and _h (hash of id and text).
+    exponential key in 0..1), _h (hash of id and text) and _row (a number of its own, fixed once the rows are staged).
     """
     rows = df.select(
         F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("_size"),
-        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_source"), F.xxhash64(id, text).alias("_h"),
+        _named(source).alias("_source"), F.xxhash64(id, text).alias("_h"),
         uniform(id, F.xxhash64(text), seed=seed).alias("_u"))
     weight = F.lit(1.0)
     if weights is not None:
         rows = rows.join(weights.select("doc_id", F.col("weight").cast("double").alias("_w")), "doc_id", "left")
         weight = F.coalesce("_w", F.lit(1.0))
-    return rows.withColumn("_e", 1 - F.pow("_u", 1 / weight)).select("doc_id", "source", "_size", "_source", "_e", "_h")
+    return rows.withColumn("_e", 1 - F.pow("_u", 1 / weight)).select("doc_id", "source", "_size", "_source", "_e", "_h").withColumn(
+        "_row", F.monotonically_increasing_id())
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -94,19 +101,28 @@ def plan(rows: DataFrame, **how) -> DataFrame:
     )
     goal = cut(goal.join(ends, "_source", "left").select("*", "end.b", "end.before").drop("end"))
     inside = rows.join(_beside(goal.select("_source", "n", "b", "before", "rest")), "_source").where(_bucket(F.col("n")) == F.col("b"))
-    key = Window.partitionBy("_source").orderBy("_e", "_h").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        inside.withColumn("mid", F.col("before") + F.sum("_size").over(key) - F.col("_size") / 2).where("mid <= rest")
-        .groupBy("_source").agg(F.max(F.struct("_e", "_h")).alias("last"))
-    )
-    return cut(goal.join(last, "_source", "left").select("_source", "total", "n", "target", "epochs", "rest", "b", "last"))
+    # Equal rows are one group of c; the first m of the group fit.
+    groups = inside.groupBy("_source", "_e", "_h", "before", "rest").agg(F.count("*").alias("c"), F.max("_size").alias("s"))
+    key = Window.partitionBy("_source").orderBy("_e", "_h").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("c") * F.col("s")).over(key), F.lit(0))
+    fit = F.when(F.col("s") > 0, F.floor(left / F.col("s") + 0.5)).otherwise(F.when(left >= 0, F.col("c")).otherwise(0))
+    groups = cut(groups.withColumn("m", F.greatest(F.least(fit, F.col("c")), F.lit(0)).cast("long")).where("m > 0"))
+    last = groups.where("m = c").groupBy("_source").agg(F.max(F.struct("_e", "_h")).alias("last"))
+    part = groups.where("m < c").select("_source", "_e", "_h", "m")  # one of a source at most
+    goal = goal.join(last, "_source", "left").select("_source", "total", "n", "target", "epochs", "rest", "b", "last")
+    if part.isEmpty():
+        return cut(goal.withColumns({"edge": F.col("last"), "edge_row": F.lit(-1).cast("long")}))
+    among = numbered(rows.join(_beside(part), ["_source", "_e", "_h"]).select("_source", "_e", "_h", "m", "_row"), ["_row"], ["_source"])
+    edge = among.where("rn = m").select("_source", F.struct("_e", "_h").alias("edge"), F.col("_row").alias("edge_row"))
+    return cut(goal.join(edge, "_source", "left"))
 
 
 def decide(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Add source_size, target and copies (how often each document is taken) to keyed rows."""
     mine = _bucket(F.col("n"))
-    once_more = F.col("b").isNull() | (mine < F.col("b")) | (
-        (mine == F.col("b")) & F.coalesce(F.struct("_e", "_h") <= F.col("last"), F.lit(False)))
+    key = F.struct("_e", "_h")
+    taken = F.coalesce(key <= F.col("last"), F.lit(False)) | F.coalesce((key == F.col("edge")) & (F.col("_row") <= F.col("edge_row")), F.lit(False))
+    once_more = F.col("b").isNull() | (mine < F.col("b")) | ((mine == F.col("b")) & taken)
     copies = F.col("epochs") + F.when((F.col("rest") > 0) & once_more, 1).otherwise(0)
     return rows.join(_beside(plan), "_source").withColumn("copies", copies.cast("long")).withColumnRenamed("total", "source_size")
 
@@ -128,7 +144,16 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
 
 def repeated(df: DataFrame, weights: DataFrame | None = None, id: str = "doc_id", text: str = "text", source: str = "source",
              **how) -> DataFrame:
-    """The mixed rows of ``df``: each as often as it is taken."""
-    taken = mix(df, weights, id, text, source, **how).groupBy("_h").agg(F.max("copies").alias("_copies"))
-    rows = df.withColumn("_mix", F.xxhash64(id, text)).join(taken.where("_copies > 0"), F.col("_mix") == F.col("_h"))
+    """The mixed rows of ``df``: each as often as it is taken. Rows of equal id, text and source share what is taken of them."""
+    taken = mix(df, weights, id, text, source, **how)
+    per = F.floor(F.col("all") / F.col("c")).cast("long")
+    groups = taken.groupBy(_named("source").alias("_source"), "_h").agg(F.sum("copies").alias("all"), F.count("*").alias("c"))
+    groups = groups.where("all > 0").select("_source", "_h", per.alias("_copies"), (F.col("all") - per * F.col("c")).alias("_extra"))
+    keyed_rows = df.withColumns({"_h": F.xxhash64(id, text), "_source": _named(source)})
+    uneven = cut(groups.where("_extra > 0"))  # one of a source at most
+    rows = keyed_rows.join(groups.where("_extra = 0"), ["_source", "_h"])
+    if not uneven.isEmpty():
+        some = numbered(keyed_rows.join(uneven, ["_source", "_h"]).withColumn("_row", F.monotonically_increasing_id()), ["_row"], ["_source", "_h"], "_rn")
+        some = some.withColumn("_copies", F.col("_copies") + (F.col("_rn") <= F.col("_extra")).cast("long")).where("_copies > 0")
+        rows = rows.unionByName(some.select(*rows.columns))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*df.columns)

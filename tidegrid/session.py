@@ -48,7 +48,9 @@ def work_root(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_dirs.setdefault(app, tempfile.mkdtemp(prefix="tidegrid-"))
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="tidegrid-")
+        root = _local_dirs[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root

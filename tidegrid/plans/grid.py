@@ -8,7 +8,7 @@ from tidegrid.operators import grid, stats
 from tidegrid.plans.registry import query
 from tidegrid.schema import CITY_BOX, DAY_GRID_PRECISION, GRID_PRECISION, REPLAY_SPEED, Box
 from tidegrid.session import work_dir
-from tidegrid.sources import files
+from tidegrid.sources import files, streams
 from tidegrid.sources.tables import over_points, over_posts, points, posts, table
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
@@ -20,6 +20,10 @@ IN_TIME = f"created_time between timestamp '{START}' and timestamp '{END}'"
 IN_AREA = "lat >= 39.25e0 and lat <= 39.35e0 and lon >= -76.70e0 and lon <= -76.61e0"
 
 
+def in_box_sql(b: Box) -> str:
+    return f"lat >= {b.south}e0 and lat <= {b.north}e0 and lon >= {b.west}e0 and lon <= {b.east}e0"
+
+
 def sql_geohash(precision: int, lat: str = "lat", lon: str = "lon") -> str:
     """Geohash in SQL: the interleaved bits of both coordinates, five at a time."""
     n_lon, n_lat = (5 * precision + 1) // 2, (5 * precision) // 2
@@ -169,6 +173,37 @@ def tick_table(spark, d):
     return grid.ticks(points(spark, d), DATA_START, DATA_END, 1.0, 0.5)
 
 
+@query("tick_bundle", over_points(f"""
+    select 'series' as part, 'now' as key, count(*) as count from points
+    where created_time between timestamp '2024-01-15 12:00:00' and timestamp '2024-01-15 12:30:00'
+    union all
+    select * from (select 'grid', {sql_geohash(6)} as cell, count(*) as n from points
+      where created_time between timestamp '2024-01-14 12:30:00' and timestamp '2024-01-15 12:30:00' and {in_box_sql(CITY_BOX)}
+      group by 2 order by n desc, cell limit 10000)
+    union all
+    select * from (select 'images', id, 1 from points
+      where created_time between timestamp '2024-01-15 06:30:00' and timestamp '2024-01-15 12:30:00' order by created_time desc, id limit 10)"""))
+def tick_bundle(spark, d):
+    """What one tick shows, as one table."""
+    p = points(spark, d).withColumns({"link": F.lit(""), "img_url": F.lit("")})
+    b = grid.tick_bundle(p, "2024-01-15 12:30:00", 24.0, 6.0, CITY_BOX)
+    one = F.lit(1).cast("bigint")
+    return (
+        b["series"].select(F.lit("series").alias("part"), F.lit("now").alias("key"), "count")
+        .unionByName(b["grid"].select(F.lit("grid").alias("part"), F.col("cell").alias("key"), "count"))
+        .unionByName(b["images"].select(F.lit("images").alias("part"), F.col("id").alias("key"), one.alias("count"))))
+
+
+@query("head_messages", over_points("select id, lat, lon from points order by created_time, id limit 1000"))
+def head_messages(spark, d):
+    """The earliest posts as messages of a topic, written to a folder and read back."""
+    head = files.head_by_time(points(spark, d), 1000).select("id", "lat", "lon")
+    path = work_dir(spark, "messages")
+    streams.write_messages(streams.to_messages(head, "posts"), path)
+    rows = spark.read.text(f"{path}/topic=posts").select(F.from_json("value", "id string, lat double, lon double").alias("m"))
+    return rows.select("m.*")
+
+
 @query("square_grid", over_points("""
     select row, col, count(*) as count, round(39.236e0 + row * s.la, 6) as south, round(-76.72e0 + col * s.lo, 6) as west
     from (select cast(floor((lat - 39.236e0) / la) as bigint) as row, cast(floor((lon + 76.72e0) / lo) as bigint) as col

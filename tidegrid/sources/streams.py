@@ -74,6 +74,11 @@ def to_messages(df: DataFrame, topic: str) -> DataFrame:
     return df.select(F.lit(topic).alias("topic"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def write_messages(messages: DataFrame, path: str) -> None:
+    """Write (topic, value) rows to a folder for each topic, one message to a line."""
+    messages.write.mode("overwrite").partitionBy("topic").text(path)
+
+
 def kafka_sink(messages: DataFrame, servers: str, name: str, offsets: str | None = None) -> StreamingQuery:
     """Write (topic, value) rows; one pooled producer per executor, retries left to the client.
 

@@ -96,7 +96,7 @@ class Merged:
         self.files_read = 0  # by the last merge
 
     def merge(self, new: DataFrame, batch: int) -> None:
-        """Merge partial results of a batch. They are read twice, so pass something cheap or staged."""
+        """Merge partial results of a batch, one row per key. They are read twice, so pass something cheap or staged."""
         new = new.select(*self._columns())
         touched = {r[0] for r in new.select(self.part.alias("p")).distinct().collect()}  # a few days, not rows
         if not touched:
@@ -104,7 +104,8 @@ class Merged:
         kept = {p: [x for x in paths if version(x) != batch] for p, paths in self._parts().items() if p in touched}
         old = [[x for x in paths if version(x) < batch][-1] for paths in kept.values() if any(version(x) < batch for x in paths)]
         self.files_read = sum(len(matching(self.spark, f"{p}/part-*")) for p in old)
-        rows = self.how(self._read(old), new).select(*self._columns()).withColumn("part", self.part)
+        rows = self.how(self._read(old), new).select(*self._columns()) if old else new
+        rows = rows.withColumn("part", self.part)
         rows.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v={batch}")
         for paths in kept.values():
             for stale in [x for x in paths if version(x) < batch][:-1]:

@@ -4,8 +4,9 @@ Terms are lower-cased runs of letters, hashed into 2**20 buckets; a text has or
 is the logistic of  w0 + sum of w_i + sum over pairs of <v_i, v_j>:  the pair part learns what two terms mean
 together, such as an insult with the mention of a group. It is computed in time linear in the terms.
 
-It is fitted on a bounded sample of labelled rows (``most_rows``, chosen by a hash of the id), on the buckets
-whose share differs most between the classes. Scoring reads every whole text once and shuffles nothing.
+It is fitted on a bounded sample of labelled rows (``most_rows``, chosen by a hash of the id and then of the row,
+so an id that repeats cannot exceed it), on the buckets whose share differs most between the classes and on those of which
+some pair does, whatever its members do alone. Scoring reads every whole text once and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without known terms; rows without a label are
 scored like others; where labels of one id disagree it counts as toxic; without labelled rows of both
@@ -29,6 +30,8 @@ from tidegrid.llm.tokens import NOT_LETTER, pieces
 BITS = 20
 MOST_ROWS = 20_000  # labelled documents in the fit, as expected number
 TERMS = 2048  # buckets kept in the model at most
+SINGLE_Z, PAIR_Z = 3.0, 8.0  # standard errors by which a bucket, or two together, must tell the classes apart
+PAIR_TERMS = 4096  # buckets whose pairs are tested, those that split the sample most evenly
 RANK = 8  # factors of a term
 THRESHOLD = 0.7
 
@@ -54,7 +57,51 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.searchsorted(row, np.arange(rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))
             part = b.slice(first, rows)
-            yield pa.RecordBatch.from_arrays([part["k"], part["toxic"], lists], names=["k", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([part["k"], part["h"], part["toxic"], lists], names=["k", "h", "toxic", "terms"])
+
+
+def _joint(flat: np.ndarray, row: np.ndarray, toxic: np.ndarray, have: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
+    """How far each bucket's strongest pair departs from the sum of its members, in standard errors.
+
+    The departure is p11 - p10 - p01 + p00 over the shares of toxic rows with both, one and none of two buckets,
+    so it shows terms that tell nothing alone, such as a group word or an exclusive-or. Cells with too
+    few rows for a normal error do not count. Done in strips, so that memory is a few hundred bytes a row.
+    """
+    n, base = len(toxic), float(toxic.mean())
+    out = np.zeros(1 << BITS, dtype=np.float32)
+    spread = base * (1 - base)
+    tested = np.flatnonzero(np.minimum(have, n - have) * spread >= 5)
+    tested = np.sort(tested[np.argsort(-np.minimum(have, n - have)[tested], kind="stable")[:most]])
+    if len(tested) < 2:
+        return out
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[tested] = np.arange(len(tested))
+    keep = place[flat] >= 0
+    x = np.zeros((n, len(tested)), dtype=np.uint8)
+    x[row[keep], place[flat[keep]]] = 1
+    each, each_pos = have[tested], x[toxic > 0].sum(0, dtype=np.float64)
+    for lo in range(0, len(tested), 256):
+        mine, rest = slice(lo, lo + 256), slice(lo, None)  # a pair is met once
+        both = np.zeros((len(each[mine]), len(tested) - lo))
+        both_pos = np.zeros_like(both)
+        for at in range(0, n, 2048):
+            part = x[at: at + 2048, rest].astype(np.float32)
+            strip = np.ascontiguousarray(part[:, :256].T)
+            both += strip @ part
+            marked = toxic[at: at + 2048] > 0
+            both_pos += strip[:, marked] @ part[marked]
+        a, b, a_pos, b_pos = each[mine, None], each[None, rest], each_pos[mine, None], each_pos[None, rest]
+        effect, error, sound = 0.0, 0.0, True
+        for sign, rows, pos in ((1, both, both_pos), (-1, a - both, a_pos - both_pos), (-1, b - both, b_pos - both_pos),
+                                (1, n - a - b + both, toxic.sum() - a_pos - b_pos + both_pos)):
+            share = (pos + base) / (rows + 1)
+            effect = effect + sign * share
+            error = error + np.maximum(spread, share * (1 - share)) / np.maximum(rows, 1)
+            sound = sound & (rows * spread >= 5)
+        score = np.where(sound, np.abs(effect) / np.sqrt(error), 0)
+        out[tested[mine]] = np.maximum(out[tested[mine]], score.max(1))
+        out[tested[rest]] = np.maximum(out[tested[rest]], score.max(0))
+    return out
 
 
 def fit(terms: list[np.ndarray], toxic: np.ndarray, most_terms: int = TERMS, rank: int = RANK, epochs: int = 60,
@@ -69,9 +116,11 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, most_terms: int = TERMS, ran
     # Difference of the two shares in standard errors.
     share, a, b = have / n, have_pos / pos, (have - have_pos) / (n - pos)
     z = np.abs(a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / (n - pos)))
-    z[have < 3] = 0
+    z[(have < 3) | (z <= SINGLE_Z)] = 0
+    joint = _joint(flat, row, toxic, have)
+    z = np.maximum(z, np.where(joint > PAIR_Z, joint, 0))
     picked = np.sort(np.argsort(-z, kind="stable")[:most_terms])
-    picked = picked[z[picked] > 3]
+    picked = picked[z[picked] > 0]
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[picked] = np.arange(len(picked))
     x = np.zeros((n, len(picked)), dtype=np.uint8)
@@ -109,10 +158,16 @@ def learn(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         marks = marks.where(uniform("k", seed=11) < most_rows / n)
     # The sample is bounded, so it goes to the texts and not the other way.
     rows = df.select(F.col(id).alias("k"), F.col(text).alias("text")).join(F.broadcast(marks), "k").select("k", "toxic", "text")
-    got = rows.mapInArrow(_terms, f"k {dict(rows.dtypes)['k']}, toxic int, terms array<int>").toPandas()
+    # An id that repeats brings all its rows: the texts of one id count once each, and the rows are bounded too.
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    many = rows.select("k", "h").distinct().count()
+    if many > 2 * most_rows:
+        rows = rows.where(uniform("k", "h", seed=12) < most_rows / many)
+    rows = rows.dropDuplicates(["k", "h"])
+    got = rows.mapInArrow(_terms, f"k {dict(rows.dtypes)['k']}, h long, toxic int, terms array<int>").toPandas()
     if not len(got):
         return None
-    got = got.sort_values("k", kind="stable")
+    got = got.sort_values(["k", "h"], kind="stable")
     return fit([np.asarray(t, dtype=np.int64) for t in got["terms"]], got["toxic"].to_numpy())
 
 

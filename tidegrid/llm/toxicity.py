@@ -31,7 +31,7 @@ BITS = 20
 MOST_ROWS = 20_000  # labelled documents in the fit, as expected number
 TERMS = 2048  # buckets kept in the model at most
 SINGLE_Z, PAIR_Z = 3.0, 8.0  # standard errors by which a bucket, or two together, must tell the classes apart
-PAIR_TERMS = 4096  # buckets whose pairs are tested, those that split the sample most evenly
+PAIR_TERMS = 2048  # buckets whose pairs are tested, those that split the sample most evenly
 RANK = 8  # factors of a term
 THRESHOLD = 0.7
 
@@ -79,16 +79,16 @@ def _joint(flat: np.ndarray, row: np.ndarray, toxic: np.ndarray, have: np.ndarra
     keep = place[flat] >= 0
     x = np.zeros((n, len(tested)), dtype=np.uint8)
     x[row[keep], place[flat[keep]]] = 1
-    each, each_pos = have[tested], x[toxic > 0].sum(0, dtype=np.float64)
-    for lo in range(0, len(tested), 256):
-        mine, rest = slice(lo, lo + 256), slice(lo, None)  # a pair is met once
+    each, each_pos = have[tested], x[toxic > 0].sum(0, dtype=np.int64)
+    for lo in range(0, len(tested), 128):
+        mine, rest = slice(lo, lo + 128), slice(lo, None)  # a pair is met once
         both = np.zeros((len(each[mine]), len(tested) - lo))
         both_pos = np.zeros_like(both)
-        for at in range(0, n, 2048):
-            part = x[at: at + 2048, rest].astype(np.float32)
-            strip = np.ascontiguousarray(part[:, :256].T)
+        for at in range(0, n, 1024):
+            part = x[at: at + 1024, rest].astype(np.float32)
+            strip = np.ascontiguousarray(part[:, :128].T)
             both += strip @ part
-            marked = toxic[at: at + 2048] > 0
+            marked = toxic[at: at + 1024] > 0
             both_pos += strip[:, marked] @ part[marked]
         a, b, a_pos, b_pos = each[mine, None], each[None, rest], each_pos[mine, None], each_pos[None, rest]
         effect, error, sound = 0.0, 0.0, True
@@ -111,8 +111,9 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, most_terms: int = TERMS, ran
     n, pos = len(toxic), float(toxic.sum())
     if not 0 < pos < n:
         return None
-    flat, row = np.concatenate(terms), np.repeat(np.arange(n), [len(t) for t in terms])
-    have, have_pos = (np.bincount(flat, weights=x, minlength=1 << BITS) for x in (None, toxic[row]))
+    flat, row = np.concatenate(terms).astype(np.int32, copy=False), np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+    have = np.bincount(flat, minlength=1 << BITS)
+    have_pos = np.bincount(flat[toxic[row] > 0], minlength=1 << BITS)
     # Difference of the two shares in standard errors.
     share, a, b = have / n, have_pos / pos, (have - have_pos) / (n - pos)
     z = np.abs(a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / (n - pos)))
@@ -168,7 +169,9 @@ def learn(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     if not len(got):
         return None
     got = got.sort_values(["k", "h"], kind="stable")
-    return fit([np.asarray(t, dtype=np.int64) for t in got["terms"]], got["toxic"].to_numpy())
+    terms, marks = got["terms"].tolist(), got["toxic"].to_numpy()
+    del got
+    return fit(terms, marks)
 
 
 def score_column(model: Model | None, column: pa.Array) -> np.ndarray:

@@ -29,6 +29,12 @@ def greedy(doc, item, least=5):
         marked += n
 
 
+def tiled(doc, item):
+    place, spot = np.array(hits_of(doc, item), dtype=np.int64).reshape(-1, 2).T
+    met = decontaminate.runs(np.zeros_like(place), spot - place, place, place)
+    return decontaminate.tile(len(doc), len(item), *met[1:])
+
+
 def hits_of(doc, item):
     at = {}
     for d in range(len(doc) - 4):
@@ -42,11 +48,11 @@ def test_tiling_against_exhaustive_search():
         item = [rng.randrange(4) for _ in range(rng.randrange(5, 25))]
         cut = rng.randrange(len(item))
         doc = item[cut:] + [rng.randrange(4) for _ in range(10)] + item[:cut]
-        got, _ = decontaminate.tile(np.array(doc), np.array(item), hits_of(doc, item))
+        got, _ = tiled(doc, item)
         assert abs(got - greedy(doc, item)) <= 4  # equal lengths may be taken in another order
     item = list(range(30))
     doc = item[15:] + [99] + item[:15]
-    assert decontaminate.tile(np.array(doc), np.array(item), hits_of(doc, item)) == (30, 2)
+    assert tiled(doc, item) == (30, 2)
 
 
 def test_words_and_shingles_against_plain_python():
@@ -104,3 +110,21 @@ def test_odd_rows_and_empty_tables(spark):
         assert decontaminate.cover(odd(spark), tests, most_words=m).count() == 10
         assert decontaminate.cover(empty(spark), tests, most_words=m).collect() == []
         assert decontaminate.cover(docs, tests.where(F.lit(False)), most_words=m).where("contaminated").count() == 0
+
+
+def test_long_texts_of_one_word_take_little_memory(monkeypatch):
+    import time
+    import tracemalloc
+
+    items = decontaminate.Items([1, 2], ["ha " * 200, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50))])
+    tracemalloc.start()
+    began = time.time()
+    got = [x for p in decontaminate.pieces(pa.array(["ha " * 200_000, "ha " * 100])) for x in items.best(p)]
+    assert got == [(1, 1.0, 1), (1, 0.5, 1)]
+    assert tracemalloc.get_traced_memory()[1] < 300e6 and time.time() - began < 60
+    tracemalloc.stop()
+    # The pairs made at once do not change the result.
+    texts = pa.array(["ha " * 700 + "ho " * 20 + "ha " * 90])
+    whole = [x for p in decontaminate.pieces(texts) for x in items.best(p)]
+    monkeypatch.setattr(decontaminate, "PAIRS", 300)
+    assert [x for p in decontaminate.pieces(texts) for x in items.best(p)] == whole

@@ -11,14 +11,15 @@ one are brought together.
 
 Defined results: null and empty texts are never contaminated; items with fewer than five words (null ones
 too) match nothing; repeated rows get one result each; ties go to the smaller item id; without documents or
-without items nothing is contaminated; other columns pass through.
+without items nothing is contaminated; other columns pass through. Memory follows the runs of equal seeds, not their
+pairs, so a long text of one repeated word is like any other.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,35 +31,51 @@ from tidegrid.llm.tokens import K, Piece, distinct, pieces, shingles
 
 THRESHOLD = 0.6
 MOST_WORDS = 2_000_000  # of all items together, for sending them to every task
+PAIRS = 1_000_000  # of equal seeds held at once
 _ADDED = "hit_item long, coverage double, tiles int"
 
 
-def tile(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]]) -> tuple[int, int]:
-    """Marked words of the item and number of tiles; ``hits`` are (item place, document place) of equal seeds."""
-    runs = defaultdict(list)
-    for i, d in hits:
-        if (item[i: i + K] == doc[d: d + K]).all():
-            runs[d - i].append(i)
-    heap = []
-    for diagonal, starts in runs.items():
-        starts.sort()
-        first = last = starts[0]
-        for i in starts[1:] + [None]:
-            if i is None or i > last + 1:
-                heap.append((-(last - first + K), first, first + diagonal))
-                first = i
-            last = i
-    heapq.heapify(heap)
-    free_item, free_doc = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool)
-    marked = tiles = 0
-    while heap and marked <= len(item) - K:
-        length, i, d = heapq.heappop(heap)
-        length = -length
-        free = free_item[i: i + length] & free_doc[d: d + length]
+class Runs(NamedTuple):
+    """Unbroken runs of equal seeds, sorted by item, diagonal (document place less item place) and first place."""
+
+    owner: np.ndarray
+    diagonal: np.ndarray
+    first: np.ndarray  # item place
+    last: np.ndarray
+
+
+def runs(owner: np.ndarray, diagonal: np.ndarray, first: np.ndarray, last: np.ndarray) -> Runs:
+    """Join runs that follow one another; a single pair of equal seeds is a run of one."""
+    order = np.lexsort((first, diagonal, owner))
+    owner, diagonal, first, last = owner[order], diagonal[order], first[order], last[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (first[1:] != last[:-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(order))[: len(starts)] - 1
+    return Runs(owner[starts], diagonal[starts], first[starts], last[ends])
+
+
+def tile(doc_words: int, item_words: int, diagonal: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[int, int]:
+    """Marked words of the item and number of tiles, from the runs of one document with one item."""
+    length = last - first + K
+    # The matches in order of length wait in arrays, only what is left of a broken one goes to the heap.
+    order = np.lexsort((first + diagonal, first, -length))
+    free_item, free_doc = np.ones(item_words, dtype=bool), np.ones(doc_words, dtype=bool)
+    heap: list[tuple[int, int, int]] = []
+    marked = tiles = at = 0
+    while (heap or at < len(order)) and marked <= item_words - K:
+        k = order[at] if at < len(order) else -1
+        top = (-int(length[k]), int(first[k]), int(first[k] + diagonal[k])) if k >= 0 else None
+        if top is None or (heap and heap[0] < top):
+            top = heapq.heappop(heap)
+        else:
+            at += 1
+        words, i, d = -top[0], top[1], top[2]
+        free = free_item[i: i + words] & free_doc[d: d + words]
         if free.all():
-            free_item[i: i + length] = False
-            free_doc[d: d + length] = False
-            marked, tiles = marked + length, tiles + 1
+            free_item[i: i + words] = False
+            free_doc[d: d + words] = False
+            marked, tiles = marked + words, tiles + 1
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):  # what is left of it may still be the longest
@@ -85,6 +102,8 @@ class Items:
                 self.words.append(p.words[p.bounds[r]: p.bounds[r + 1]])
         flat = lambda x, t: np.concatenate(x) if x else np.empty(0, dtype=t)
         seeds, owner, place = flat(seeds, np.uint64), flat(owner, np.int64), flat(place, np.int64)
+        self.flat = flat(self.words, np.uint64)
+        self.begin = np.cumsum([0, *map(len, self.words)])
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
 
@@ -98,21 +117,41 @@ class Items:
         at = np.flatnonzero(found)
         hi = np.searchsorted(self.seeds, h[at], side="right")
         cut = np.searchsorted(at, bounds)
+        lo = lo[at]
         for r in range(p.rows):
-            hits = defaultdict(list)
-            for k in range(cut[r], cut[r + 1]):
-                d = int(at[k] - bounds[r])
-                for s in range(lo[at[k]], hi[k]):
-                    hits[self.owner[s]].append((int(self.place[s]), d))
             top = (None, 0.0, 0)
             doc = p.words[p.bounds[r]: p.bounds[r + 1]]
-            for o, pairs in hits.items():
-                marked, tiles = tile(doc, self.words[o], pairs)
+            mine = slice(cut[r], cut[r + 1])
+            met = self._runs(doc, at[mine] - bounds[r], lo[mine], hi[mine])
+            edges = [0, *(np.flatnonzero(np.diff(met.owner)) + 1).tolist(), len(met.owner)]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                o = int(met.owner[a])
+                marked, tiles = tile(len(doc), len(self.words[o]), met.diagonal[a:z], met.first[a:z], met.last[a:z])
                 share = marked / len(self.words[o])
                 if share > top[1] or (share == top[1] and top[0] is not None and self.ids[o] < top[0]):
                     top = (self.ids[o], share, tiles)
             yield top
 
+    def _runs(self, doc: np.ndarray, spot: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Runs:
+        """Runs of the seeds at ``spot`` with all items; the pairs of equal seeds are made ``PAIRS`` or so at a time."""
+        ends = np.cumsum(hi - lo)
+        found = [Runs(*[np.empty(0, dtype=np.int64)] * 4)]
+        a = 0
+        while a < len(spot):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, side="right")))
+            count = (hi - lo)[a:z]
+            back = np.cumsum(count) - count
+            seed = np.arange(count.sum()) - np.repeat(back - lo[a:z], count)
+            d, i, owner = np.repeat(spot[a:z], count), self.place[seed], self.owner[seed]
+            same = np.ones(len(seed), dtype=bool)
+            for k in range(K):  # equal hashes, equal words
+                same &= self.flat[self.begin[owner] + i + k] == doc[d + k]
+            found.append(runs(owner[same], (d - i)[same], i[same], i[same]))
+            a = z
+        return runs(*[np.concatenate(x) for x in zip(*found)])
+
 
 def _scan(rows: DataFrame, items: Items, text: str) -> DataFrame:
     keep = rows.columns

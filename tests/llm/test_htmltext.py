@@ -48,6 +48,33 @@ def test_hostile_pages_take_linear_time():
     assert time.time() - began < 60
 
 
+def test_hostile_tables_take_linear_time_and_space():
+    began = time.time()
+    spans = "<table>" + '<tr><td colspan=1000 rowspan=65534>x' * 4000 + "</table>"
+    assert visible_text(spans).split() == ["x"] * 4000
+    assert time.time() - began < 1.5
+    steps = "<table>" + "".join(f"<tr><td rowspan={5000 - i}>x" for i in range(4000)) + "</table>"
+    assert visible_text(steps).split() == ["x"] * 4000
+    assert time.time() - began < 20
+    long = "<table><tr>" + "<td>" + "y" * 9000 + "<td>z" + "<tr><td>a<td>b" * 1000 + "</table>"
+    assert len(visible_text(long)) < 10 * len(long)
+    wide = "<table><tr>" + ("<td>" + "y" * 80) * 300 + "<tr><td colspan=299><td>b" * 1000 + "</table>"
+    assert len(visible_text(wide)) < 20 * len(wide)
+
+
+def test_spans_keep_their_columns():
+    page = ("<table><tr><td rowspan=3>a<td>b<td rowspan=2>c<tr><td>d<td>e<tr><td>f<td>g<td>h<tr><td>i<td>j</table>")
+    assert visible_text(page).split("\n") == ["a  b  c", "   d     e", "   f  g  h", "i  j"]
+    # Spans that meet a cell above: the later one holds the shared columns.
+    page = "<table><tr><td>a<td rowspan=3>b<tr><td colspan=2 rowspan=3>c<tr><td>d<tr><td>e<tr><td>f</table>"
+    assert visible_text(page).split("\n") == ["a  b", "c", "      d", "      e", "f"]
+
+
+def test_attributes_hide_in_any_case():
+    assert visible_text("<p Hidden>no</p><p HIDDEN>no</p><p StYlE='DISPLAY: None'>no</p><p>yes</p>") == "yes"
+    assert visible_text("<p Style='Visibility:Hidden'>no <b STYLE='visibility:VISIBLE'>yes</b></p>") == "yes"
+
+
 def test_query_shows_every_word_outside_hidden_elements(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = queries.op2(spark, sf_dir).collect()

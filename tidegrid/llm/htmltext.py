@@ -11,7 +11,8 @@ details that are not open (a summary shows). Style sheets are not read.
 
 Defined results: null html gives null text; empty html, and html without visible text, gives an empty text;
 elements nested deeper than ``DEPTH`` are laid out as children of the element at that depth; whatever is
-left open at the end is closed there; repeated rows are rows of their own; extra columns pass through.
+left open at the end is closed there; cells longer than ``CELL_WIDTH`` and columns beyond ``TABLE_WIDTH`` are shown whole
+but not waited for by the cells below them; repeated rows are rows of their own; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 150
+CELL_WIDTH, TABLE_WIDTH = 120, 600  # characters to which cells of a column, and columns of a table, are aligned
+COLUMNS = 4096  # columns further right are not kept free below a cell that spans rows
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|$)|</[^>]*>",
@@ -227,7 +230,8 @@ class Page:
 
 def _style(raw: str) -> tuple[bool, bool | None]:
     """Whether an element is not displayed, and its own visibility if it states one."""
-    if "hidden" not in raw and "none" not in raw and "visib" not in raw and "style" not in raw.lower() and "HIDDEN" not in raw:
+    low = raw.lower()
+    if "hidden" not in low and "style" not in low:
         return False, None
     a = attributes(raw)
     css = re.sub(r"\s+", "", a.get("style", "").lower())
@@ -298,6 +302,37 @@ def render(node: Node, page: Page, visible: bool = True, pre: bool = False, dept
     page.indent = indent
 
 
+def _covered(held: list[tuple[int, int, int]], spans: list[tuple[int, int, int]], row: int) -> list[tuple[int, int, int]]:
+    """Sorted intervals of columns that cells above ``row`` cover, one for neighbours that end in the same row.
+
+    A new span takes the columns it shares with an older one.
+    """
+    held = [h for h in held if h[2] > row]
+    spans = [s for s in spans if s[2] > row]
+    if spans:
+        old, held = held, []
+        k = 0
+        for a, b, until in old:
+            while k < len(spans) and spans[k][1] <= a:
+                k += 1
+            j = k
+            while j < len(spans) and spans[j][0] < b:
+                if a < spans[j][0]:
+                    held.append((a, spans[j][0], until))
+                a = max(a, spans[j][1])
+                j += 1
+            if a < b:
+                held.append((a, b, until))
+        held = sorted(held + spans)
+    out: list[tuple[int, int, int]] = []
+    for h in held:
+        if out and out[-1][1] == h[0] and out[-1][2] == h[2]:
+            out[-1] = (out[-1][0], h[1], h[2])
+        else:
+            out.append(h)
+    return out
+
+
 def table(node: Node, visible: bool) -> list[str]:
     """Caption and rows with cells padded to the width of their columns."""
     caption, rows = [], []
@@ -324,10 +359,11 @@ def table(node: Node, visible: bool) -> list[str]:
     visit(node, visible)
     grid: list[dict[int, list[str]]] = []
     width: dict[int, int] = {}
-    held: dict[int, int] = {}  # column -> rows that a cell above still covers
-    for tr, seen in rows:
+    held: list[tuple[int, int, int]] = []  # columns from, to, and the first row that the cell above does not cover
+    for at, (tr, seen) in enumerate(rows):
         line: dict[int, list[str]] = {}
-        col = 0
+        col = passed = 0
+        spans = []
         for cell in tr.children:
             if isinstance(cell, str):
                 if cell.strip() and seen:
@@ -336,8 +372,9 @@ def table(node: Node, visible: bool) -> list[str]:
             off, _ = _style(cell.raw) if cell.raw else (False, None)
             if off or cell.tag in HIDDEN:
                 continue
-            while held.get(col, 0) > 0:
-                col += 1
+            while passed < len(held) and held[passed][0] <= col:
+                col = max(col, held[passed][1])
+                passed += 1
             inner = Page()
             render(cell, inner, seen)
             text = inner.done()
@@ -345,17 +382,16 @@ def table(node: Node, visible: bool) -> list[str]:
             down = _number(cell.raw, "rowspan", 1, 1, 65534) if cell.raw else 1
             line[col] = text
             if span == 1:
-                width[col] = max(width.get(col, 0), max(map(len, text), default=0))
-            if down > 1:
-                for k in range(col, col + span):
-                    held[k] = down
+                width[col] = max(width.get(col, 0), min(max(map(len, text), default=0), CELL_WIDTH))
+            if down > 1 and col < COLUMNS:
+                spans.append((col, col + span, min(at + down, len(rows))))
             col += span
-        held = {k: v - 1 for k, v in held.items() if v > 1}
+        held = _covered(held, spans, at + 1)
         grid.append(line)
     columns = sorted({c for line in grid for c in line})
     place, x = {}, 0
     for c in columns:
-        place[c] = x
+        place[c] = min(x, TABLE_WIDTH)
         x += width.get(c, 0) + 2 if width.get(c, 0) else 0
     out = list(caption)
     for line in grid:

@@ -84,3 +84,45 @@ def test_a_third_of_all_rows_in_one_tight_cluster(spark):
         assert len(got) == 10 * len(want)
         hits = sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in got)
         assert hits / len(got) >= 0.9
+
+
+def best_of(v, ids, asked, k, parts=1):
+    best = neighbours._Best(ids[asked], v[asked], k)
+    for part in np.array_split(np.arange(len(v)), parts):
+        best.add(ids[part], v[part])
+    return best.result()
+
+
+def plain_best(v, ids, i, k):
+    d = np.sqrt(((v - v[i]) ** 2).sum(1))
+    d[i] = np.inf
+    order = np.lexsort((ids, d))[:k]
+    return ids[order].tolist(), d[order]
+
+
+def test_blocks_find_all_far_from_the_origin():
+    rng = np.random.default_rng(1)
+    ids, asked = rng.permutation(3000), np.arange(0, 3000, 60)
+    tight = rng.normal(size=(3000, 16))
+    mixed = tight * np.where(np.arange(3000) % 3, 1e-9, 1)[:, None] + np.where(np.arange(3000) % 3, 1e4, 0)[:, None]
+    for v in (tight * 1e-3 + 1e6, tight, mixed, np.repeat(tight[:100], 30, axis=0)):
+        for parts in (1, 4):
+            query, found, score = best_of(v, ids, asked, 10, parts)
+            for i in asked:
+                who, d = plain_best(v, ids, i, 10)
+                mine = query == ids[i]
+                assert found[mine].tolist() == who and (score[mine] == d).all()
+
+
+def test_huge_components_keep_their_neighbours(spark):
+    rng = np.random.default_rng(2)
+    for size in (1e150, 1e200, 1e300):
+        rows = rng.normal(size=(60, 4)) * size
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        got = neighbours.nearest(df, F.col("id") % 10 == 0, k=5).collect()
+        small = rows / 2.0**600
+        for i in range(0, 60, 10):
+            mine = sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)
+            who, d = plain_best(small if size > 1e150 else rows, np.arange(60), i, 5)
+            assert [r.vec_id for r in mine] == who
+            assert np.allclose([r.score for r in mine], d * (2.0**600 if size > 1e150 else 1), rtol=1e-12)

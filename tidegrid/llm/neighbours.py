@@ -130,18 +130,18 @@ class Curves:
         return np.minimum(place * (self.blocks / self.rows), self.blocks - 1).astype(np.int64)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int, unit: float) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) / unit
 
 
-def _place(curves: Curves, dim: int, reach: int):
+def _place(curves: Curves, dim: int, reach: int, unit: float):
     """Rows (curve, block, candidate, id, v): a candidate in its block, a query in all blocks of its window."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                v = _matrix(b["v"], dim)
+                v = _matrix(b["v"], dim, unit)
                 asked = b["query"].to_numpy(zero_copy_only=False).astype(bool)
                 offered = b["candidate"].to_numpy(zero_copy_only=False).astype(bool)
                 for c in range(len(curves.project)):
@@ -167,20 +167,40 @@ class _Best:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, queries, k
-        self.norm = (queries**2).sum(1)
+        self.middle = queries.mean(0)  # norms and products lose no digits to a common offset
+        self.near_q = queries - self.middle
+        self.norm = (self.near_q**2).sum(1)
+        self.error = np.zeros(len(ids))
         self.near = np.full((len(ids), k + _SLACK), np.inf)
         self.who = np.full((len(ids), k + _SLACK), -1, dtype=np.int64)
         self.vec = np.zeros((len(ids), k + _SLACK, queries.shape[1]))
 
     def add(self, ids: np.ndarray, v: np.ndarray) -> None:
         keep = self.near.shape[1]
+        near_v = v - self.middle
+        size = (near_v**2).sum(1)
+        rounding = 4 * (v.shape[1] + 4) * np.finfo(np.float64).eps
         for lo in range(0, len(self.ids), 256):
             hi = min(lo + 256, len(self.ids))
-            d = self.norm[lo:hi, None] + (v**2).sum(1)[None] - 2 * self.q[lo:hi] @ v.T
-            d[self.ids[lo:hi, None] == ids[None]] = np.inf
+            d = self.norm[lo:hi, None] + size[None] - 2 * self.near_q[lo:hi] @ near_v.T
+            own = self.ids[lo:hi, None] == ids[None]
+            d[own] = np.inf
             both = np.concatenate([self.near[lo:hi], d], axis=1)
             pick = np.argpartition(both, keep - 1, axis=1)[:, :keep]
             row = np.arange(hi - lo)[:, None]
+            # Where rounding could decide who is kept, the plain sum of squared differences does.
+            self.error[lo:hi] = np.maximum(self.error[lo:hi], rounding * (self.norm[lo:hi] + size.max(initial=0)))
+            kept = np.sort(both[row, pick], axis=1)
+            gap = np.where(np.isfinite(kept[:, -1]), kept[:, -1], np.inf) - kept[:, self.k - 1]
+            unsure = np.isfinite(kept[:, -1]) & (gap <= 2 * self.error[lo:hi]) & (both.shape[1] > keep)
+            for i in np.flatnonzero(unsure).tolist():
+                plain = ((v - self.q[lo + i]) ** 2).sum(1)
+                plain[own[i]] = np.inf
+                old_ones = ((self.vec[lo + i] - self.q[lo + i]) ** 2).sum(1)
+                old_ones[self.who[lo + i] < 0] = np.inf
+                both[i] = np.concatenate([old_ones, plain])
+                who = np.concatenate([self.who[lo + i], ids])
+                pick[i] = np.lexsort((who, both[i]))[:keep]
             old = pick < keep
             new = np.where(old, 0, pick - keep)
             at = np.where(old, pick, 0)
@@ -190,14 +210,14 @@ class _Best:
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         exact = np.sqrt(((self.vec - self.q[:, None]) ** 2).sum(-1))
-        exact[~np.isfinite(self.near)] = np.inf
+        exact[~np.isfinite(self.near)] = np.inf  # empty places
         order = np.lexsort((self.who, exact), axis=-1)[:, : self.k]
         row = np.arange(len(self.ids))[:, None]
         ok = np.isfinite(exact[row, order])
         return (np.repeat(self.ids, self.k).reshape(-1, self.k)[:, : order.shape[1]][ok], self.who[row, order][ok], exact[row, order][ok])
 
 
-def _search(dim: int, k: int):
+def _search(dim: int, k: int, unit: float):
     """Nearest candidates of each query inside sorted (curve, block) runs; queries come first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,15 +225,16 @@ def _search(dim: int, k: int):
 
         def drain() -> Iterator[pa.RecordBatch]:
             if best is not None:
+                asker, found, score = best.result()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(best.result(), (pa.int64(), pa.int64(), pa.float64()))],
+                    [pa.array(asker, pa.int64()), pa.array(found, pa.int64()), pa.array(score * unit, pa.float64())],
                     names=["query_id", "vec_id", "score"])
 
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 b = whole.slice(start, 4096)
                 run = b["curve"].to_numpy().astype(np.int64) << 40 | b["block"].to_numpy().astype(np.int64) << 1 | b["kind"].to_numpy()
-                ids, v = b["id"].to_numpy(), _matrix(b["v"], dim)
+                ids, v = b["id"].to_numpy(), _matrix(b["v"], dim, unit)
                 edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
                 for a, z in zip(edges, edges[1:]):
                     if now != run[a] >> 1:
@@ -249,20 +270,23 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", ve
     asked = rows.where(is_query).select("id", "v", F.lit(True).alias("query"), F.lit(False).alias("candidate")).dropDuplicates(["id"])
     out = "query_id long, vec_id long, score double"
     both = stage(offered.unionByName(asked), "neighbour-rows")
-    n = both.where("candidate").count()
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x).cast("double"))))
+    n, top = both.where("candidate").agg(F.count("*"), largest).first()
+    # Squares of huge components overflow: a power of two, which rounds nothing, makes them smaller.
+    unit = 2.0 ** (int(np.frexp(top)[1]) - 480) if n and top > 2.0**480 else 1.0
     sample = both.where("candidate").where(uniform("id", seed=29) < SAMPLE / max(n, 1)).select("v").toPandas()
     if not len(sample):
         found = df.sparkSession.createDataFrame([], out)
     else:
-        vectors = np.array(sample["v"].tolist(), dtype=np.float64)
+        vectors = np.array(sample["v"].tolist(), dtype=np.float64) / unit
         # A block holds several times k rows, so few rows are all in one block.
         blocks = int(max(1, min(BLOCKS, n // (4 * k)), np.ceil(n / BLOCK_ROWS)))
         curves = Curves(vectors, blocks, **how)
         reach = max(1, round((window * blocks - 1) / 2))
         dim = vectors.shape[1]
         kind = dict(rows.dtypes)["v"]
-        placed = both.mapInArrow(_place(curves, dim, reach), f"curve int, block int, kind int, id long, v {kind}")
-        found = placed.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind").mapInArrow(_search(dim, k), out)
+        placed = both.mapInArrow(_place(curves, dim, reach, unit), f"curve int, block int, kind int, id long, v {kind}")
+        found = placed.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind").mapInArrow(_search(dim, k, unit), out)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

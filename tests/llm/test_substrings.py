@@ -88,6 +88,20 @@ def test_odd_rows_and_empty_table(spark):
     assert all((r.spans == "") == (r.doc_id == 4) for r in got)
 
 
+def test_one_row_without_an_id_keeps_what_no_other_row_holds(spark):
+    rng = random.Random(21)
+    line, passage = words(rng, 60), words(rng, 60)
+    inside = lambda: f"{words(rng, 40)} {passage} {words(rng, 40)}"
+    rows = [(None, line), (None, line), (None, line), (None, inside()), (None, inside()), (7, words(rng, 60)), (None, f"{words(rng, 30)} {line[:80]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.repeats(df).collect()
+    assert len(got) == 7
+    whole = [r for r in got if r.n_words == 60 and r.doc_id is None]
+    assert sorted(r.spans != "" for r in whole) == [False, True, True]
+    assert sorted(r.spans != "" for r in got if r.n_words == 140) == [False, True]
+    assert [r.spans for r in got if r.doc_id == 7] == [""]
+
+
 def test_no_passage_of_over_fifty_words_is_lost(spark):
     rng = random.Random(11)
     docs, inside = {}, {}

@@ -13,7 +13,8 @@ passage of that length is missed, but up to APART - 1 words at each end are not
 Of each group the document with the smallest id keeps its copy; all others lose theirs. Repeats inside one
 document are left alone.
 
-Defined results: null and empty texts have no spans; rows without an id never keep a shared passage; rows
+Defined results: null and empty texts have no spans; rows without an id keep a shared passage
+only if no row with an id holds it, and then the first of them does, by its place in the table; rows
 that repeat an id are one document; positions are bytes of the UTF-8 text, ends exclusive; an empty table
 gives no rows; other columns are not read.
 """
@@ -249,18 +250,19 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     spot = ["rid", "start", "end"]
 
     pieces_ = units.where("not line")
-    known = pieces_.groupBy("f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max(F.col("doc").isNull()).alias("loose"))
-    again = F.col("lo").isNotNull() & ((F.col("lo") != F.col("hi")) | F.col("loose"))
-    other = F.col("doc").isNull() | (F.col("doc") != F.col("lo"))
-    cut_parts = pieces_.join(known.where(again).select("f", "lo"), "f").where(other).select(*spot)
+    known = pieces_.groupBy("f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.when(F.col("doc").isNull(), F.col("rid"))).alias("loose"))
+    # Where no row has an id, the first row keeps its copy; ``loose`` is the first row without an id.
+    again = F.col("lo").isNull() | (F.col("lo") != F.col("hi")) | F.col("loose").isNotNull()
+    other = F.when(F.col("lo").isNull(), F.col("rid") != F.col("loose")).otherwise(F.col("doc").isNull() | (F.col("doc") != F.col("lo")))
+    cut_parts = pieces_.join(known.where(again).select("f", "lo", "loose"), "f").where(other).select(*spot)
 
     lines = units.where("line").select(*spot, "doc", "f")
     links = paragraph_links(units, df.select(F.col(text).alias("text")))
     comps = ngram_join.components(links)
-    classes = lines.groupBy("f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max(F.col("doc").isNull()).alias("loose"))
+    classes = lines.groupBy("f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.when(F.col("doc").isNull(), F.col("rid"))).alias("loose"))
     classes = classes.join(comps, "f", "left").withColumn("c", F.coalesce("c", "f"))
-    groups = classes.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("loose").alias("loose")).where(again)
-    cut_lines = lines.join(classes.select("f", "c").join(groups.select("c", "lo"), "c").select("f", "lo"), "f").where(other).select(*spot)
+    groups = classes.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("loose").alias("loose")).where(again)
+    cut_lines = lines.join(classes.select("f", "c").join(groups.select("c", "lo", "loose"), "c").select("f", "lo", "loose"), "f").where(other).select(*spot)
 
     merge = F.pandas_udf(_merge, "n_spans int, removed_bytes long, spans string")
     spans = (

@@ -64,10 +64,45 @@ def test_chains_copies_and_shared_passages(spark, block):
     assert kept == sorted({c for _, c in got.values()})
 
 
-def test_keys_that_are_joined_give_the_same(spark):
+def test_order_by_one_frequent_shingle_gives_the_same(spark):
     docs = list(enumerate(family(random.Random(3), 25, 2)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, sent_keys=0, frequent=1).collect()}
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, frequent=1).collect()}
+    assert got == expected(docs)
+
+
+def template_pages(n, shared=84, size=100):
+    """Pages that share ``shared`` of their words: similar, but below 0.8."""
+    return [" ".join([f"t{k}" for k in range(shared)] + [f"u{i}x{k}" for k in range(size - shared)]) for i in range(n)]
+
+
+def test_template_pages_move_sets_in_proportion(spark, monkeypatch):
+    moved = []
+    real = ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda blocks, sets: moved.append(blocks.count()) or real(blocks, sets))
+    per_page = []
+    for n in (128, 512):
+        moved.clear()
+        texts = template_pages(n)
+        # every eighth page has a near copy: its links must be found among the others
+        docs = list(enumerate(texts + [t.replace(f"u{8 * i}x15", "other") for i, t in enumerate(texts[::8])]))
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+        got = {r.id: r.component_id for r in ngram_join.groups(df, block=16).collect()}
+        assert got == {i: i if i < n else 8 * (i - n) for i, _ in docs}
+        per_page.append(sum(moved) / len(docs))
+    assert per_page[1] < 1.5 * per_page[0] and per_page[1] < 8
+
+
+def test_links_across_sizes_in_divided_blocks(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(130)]
+    docs = [words[: rng.randrange(70, 131)] for _ in range(50)]
+    for d in docs:
+        for _ in range(rng.randrange(6)):
+            d[rng.randrange(len(d))] = f"x{rng.randrange(10**6)}"
+    docs = list(enumerate(" ".join(d) for d in docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, block=2).collect()}
     assert got == expected(docs)
 
 

@@ -4,13 +4,16 @@
    shingles (those counted often in some batch last, by count; the others first, by hash) two sets with
    similarity t share l shingles among the first n - ceil(t n) + l of each, for any l. With l a seventh of
    the set, a class that shares fewer prefix shingles with all others together has no link and is left out.
-2. All classes that share a prefix shingle go to the block of the smallest of them. So any two classes that
-   can be linked meet in some block, and a group of near copies makes a few blocks, not one per shingle.
+2. All classes that share a shingle of their heads (prefixes for l = 1) go to the block of the smallest of them. So any
+   two classes that can be linked meet in some block, and a group of near copies makes a few blocks, not one per shingle.
 3. Each block is a trie of its sets, ordered by frequency in the block. A set is looked up by walking the
    trie: paths shared by many sets are counted once, and a subtree is left as soon as the shingles that
    remain cannot bring the overlap up. What reaches a leaf is linked exactly.
-4. A large block is divided by hash. Its largest component is found from the parts first; then only sets
-   outside it are looked up in the other parts, streamed against one trie at a time.
+4. A large block is divided by hash, and its parts are joined. If that leaves several components, its sets get
+   finer blocks: per pair of size bands, where a linked pair overlaps by more than a prefix of any size can ask for,
+   and in an order that puts shingles of few open sets first. So pages of one template, which share many shingles but
+   not enough, do not meet again. In a finer block, sets outside its largest component are looked up in its parts,
+   streamed against one trie at a time.
 
 The order only decides how much work there is: any order gives the same links. Class keys and shingles are
 64-bit hashes.
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.collocations import Gate, gate
 from tidegrid.llm.common import release, stage
 from tidegrid.llm.tokens import distinct, pieces, scramble, shingles
 from tidegrid.operators.graph import connected_components
@@ -38,7 +42,7 @@ SEEN = 3  # counted so often in a batch, a shingle is reported
 FREQUENT = 12  # reported so often in all, it is moved to the end of the order
 FREQUENT_KEPT = 500_000  # of these at most; the order of the others is by hash
 BLOCK = 256  # sets in one trie
-SENT_KEYS = 2_000_000  # class keys sent to all tasks at most; beyond that they are joined
+EDGES = np.unique((20 * 1.05 ** np.arange(-62, 400)).astype(np.int64))[1:]  # smallest sizes of the size bands
 
 def _at_least(n):
     """Shared prefix shingles that are asked of a set of ``n``; rises with ``n``."""
@@ -102,7 +106,7 @@ def _prefixes(sent):
             seen: set[int] = set()
             for _, rows, h, bounds, sizes, key in _sets(b):
                 order = _place(h, frequent, place)
-                tokens, keys, lens, needs = [], [], [], []
+                tokens, keys, lens, needs, heads = [], [], [], [], []
                 for r in range(rows):
                     n, k = int(sizes[r]), int(key[r])
                     if not n or k in seen:
@@ -119,25 +123,23 @@ def _prefixes(sent):
                     keys.append(k)
                     lens.append(p)
                     needs.append(_at_least(least))
+                    heads.append(np.arange(p) <= n - least)
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
                         [_i64(np.concatenate(tokens)), _i64(np.repeat(np.array(keys, dtype=np.uint64), lens)),
-                         pa.array(np.repeat(np.array(needs, dtype=np.int32), lens))], names=["token", "f", "need"])
+                         pa.array(np.repeat(np.array(needs, dtype=np.int32), lens)), pa.array(np.concatenate(heads))],
+                        names=["token", "f", "need", "head"])
 
     return task
 
 
 def _full_sets(sent):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value if sent is not None else None
+        wanted = Gate(sent.value)
         for b in batches:
             seen: set[int] = set()
             for _, rows, h, bounds, sizes, key in _sets(b):
-                take = sizes > 0
-                if wanted is not None:
-                    k = key.view(np.int64)
-                    at = np.minimum(np.searchsorted(wanted, k), max(len(wanted) - 1, 0))
-                    take &= (wanted[at] == k) if len(wanted) else False
+                take = (sizes > 0) & wanted(key)
                 keys, sets = [], []
                 for r in np.flatnonzero(take):
                     if int(key[r]) not in seen:
@@ -300,6 +302,84 @@ def components(links: DataFrame) -> DataFrame:
     return connected_components(ends, links).select(F.col("id").alias("f"), F.col("component").alias("c"))
 
 
+def _finer(order, shared):
+    """Prefix shingles of each set for each pair of size bands in which it can have a link.
+
+    Sets in bands from ``x`` and ``y`` up overlap by 4/9 (x + y) at least. Both prefixes leave all but ``need`` of
+    that overlap out, so linked sets share ``need`` shingles there, and one within their heads. A shingle that only one
+    set holds takes its place in the prefix, but is not passed on.
+    """
+
+    def entries(tokens: np.ndarray, known: Gate, frequent: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+        n = len(tokens)
+        rank = np.where(known(tokens), 1 + _place(tokens, frequent, place), 0)
+        by = np.lexsort((tokens, rank))
+        ranked, several = tokens[by], rank[by] > 0
+        band, low, high = (int(x) - 1 for x in np.searchsorted(EDGES, [n, (4 * n + 4) // 5, 5 * n // 4], side="right"))
+        for other in range(low, high + 1):
+            x, y = int(EDGES[min(band, other)]), int(EDGES[max(band, other)])
+            least = -(-4 * (x + y) // 9)
+            need = min(x // 20 + 1, least)
+            if n >= least:
+                at = np.flatnonzero(several[: n - least + need])
+                yield min(band, other), max(band, other), ranked[at], need, at <= n - least, band
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (frequent, place) = Gate(shared.value), order.value
+        for b in batches:
+            f, c = (b[x].to_numpy() for x in ("f", "c"))
+            flat, ends = b["tokens"].flatten().to_numpy().view(np.uint64), b["tokens"].offsets.to_numpy()
+            ends = ends - ends[0]
+            for i in range(b.num_rows):
+                found = [x for x in entries(flat[ends[i]: ends[i + 1]], known, frequent, place) if len(x[2])]
+                if found:
+                    low, high, tokens, need, head, band = zip(*found)
+                    lens = [len(t) for t in tokens]
+                    m = sum(lens)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(low, lens), pa.int32()), pa.array(np.repeat(high, lens), pa.int32()),
+                         pa.array(np.repeat(band, lens), pa.int32()), _i64(np.concatenate(tokens)), pa.array(np.full(m, f[i])),
+                         pa.array(np.full(m, c[i])), pa.array(np.repeat(need, lens), pa.int32()), pa.array(np.concatenate(head))],
+                        names=["low", "high", "band", "token", "f", "c", "need", "head"])
+
+    return task
+
+
+def finer_blocks(members: DataFrame, sets: DataFrame, block: int = BLOCK, frequent: int = FREQUENT_KEPT) -> DataFrame:
+    """Rows (leader, part, probe, f, c) that bring all linked ``members`` (f, c) of different components together."""
+    spark = members.sparkSession
+    held = stage(sets.join(members, "f").select("f", "c", "tokens"), "shingle-open-sets")
+    counts = stage(held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "shingle-open-counts")
+    shared, order = gate(counts.select(F.col("token").alias("h"))), spark.sparkContext.broadcast(_frequent(counts, frequent))
+    made = "low int, high int, band int, token long, f long, c long, need int, head boolean"
+    entries = stage(held.mapInArrow(_finer(order, shared), made), "shingle-open-prefixes")
+    shared.unpersist()
+    order.unpersist()
+
+    def met_by(rows: DataFrame) -> DataFrame:
+        """Shingles that can make a link: held in both bands of the pair, and by sets of two components."""
+        ends = rows.groupBy(*pair, "token").agg(F.min("f").alias("leader"), *[f(x).alias(f"{k}_{x}") for x in ("c", "band") for k, f in (("least", F.min), ("most", F.max))])
+        return ends.where("least_c < most_c and least_band = low and most_band = high").select(*pair, "token", "leader")
+
+    pair = ["low", "high"]
+    live = stage(entries.join(met_by(entries), [*pair, "token"], "left_semi"), "shingle-open-shared")
+    enough = live.groupBy(*pair, "f").agg(F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select(*pair, "f")
+    heads = stage(live.where("head").join(enough, [*pair, "f"], "left_semi").drop("need", "head"), "shingle-open-heads")
+    met = heads.join(met_by(heads), [*pair, "token"]).select(F.xxhash64(*pair, "leader").alias("leader"), "f", "c").distinct()
+    met = stage(met, "shingle-open-blocks")
+    for used in (held, counts, entries, live, heads):
+        release(used)
+    sizes = met.groupBy("leader", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("leader").agg(
+        F.max_by("c", F.struct("m", "c")).alias("main"), F.ceil(F.sum("m") / block).cast("int").alias("parts"),
+        F.count("*").alias("comps")).where("comps > 1")
+    mixed = met.join(main, "leader")
+    own = mixed.select("leader", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("probe"), "f", "c")
+    probes = mixed.where("c <> main").select(
+        "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "f", "c")
+    return own.unionByName(probes)
+
+
 def linked_in_blocks(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links between the sets of each block; ``met`` has (leader, f), ``sets`` has (f, tokens)."""
     parts = met.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
@@ -308,24 +388,23 @@ def linked_in_blocks(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> Dat
             F.array(F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")))).alias("part"))
     zero = F.lit(0).cast("long").alias("c")
     found = stage(_links(blocks.select("leader", "part", F.lit(0).alias("probe"), "f", zero), sets), "shingle-links")
-    divided = blocks.where("parts > 1")
+    divided = blocks.where("parts > 1").select("leader", "f")
     if divided.isEmpty():
         return found
-    # Sets outside the largest component of a divided block still have to meet the block's other parts.
-    comps = components(found)
-    divided = stage(divided.join(comps, "f", "left").withColumn("c", F.coalesce("c", "f")), "shingle-divided")
-    sizes = divided.groupBy("leader", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("leader").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = divided.join(main, "leader")
-    probes = open_.where("c <> main").select("leader", "parts", "f", "c").distinct().select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "f", "c")
-    both = open_.select("leader", "part", F.lit(0).alias("probe"), "f", "c").unionByName(probes)
-    every = stage(found.unionByName(_links(both, sets)), "shingle-links")
-    release(found)
-    release(divided)
+    divided = stage(divided.join(components(found), "f", "left").withColumn("c", F.coalesce("c", "f")), "shingle-divided")
+    several = divided.groupBy("leader").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("leader")
+    members = stage(divided.join(several, "leader", "left_semi").select("f", "c").distinct(), "shingle-open")
+    every = stage(found.unionByName(_links(finer_blocks(members, sets, block), sets)), "shingle-links")
+    for used in (found, divided, members):
+        release(used)
     return every
 
 
+def sets_of(keys: DataFrame, made: DataFrame, name: str) -> DataFrame:
+    """Sets (f, tokens) of the ``keys`` (f), once each, out of ``made`` by :func:`_full_sets` or its like."""
+    return stage(made.groupBy("f").agg(F.first("tokens").alias("tokens")).join(keys, "f", "left_semi"), name)
+
+
 def profile(df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, n, f): id, hash of the text, set size, class key; and the table of often counted shingles."""
     rows = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -352,31 +431,27 @@ def _shared(entries: DataFrame) -> DataFrame:
     return ends.where("leader < last").select("token", "leader")
 
 
-def links(df: DataFrame, counts: DataFrame, text: str = "text", block: int = BLOCK, frequent: int = FREQUENT_KEPT,
-          sent_keys: int = SENT_KEYS) -> DataFrame:
+def links(df: DataFrame, counts: DataFrame, text: str = "text", block: int = BLOCK, frequent: int = FREQUENT_KEPT) -> DataFrame:
     """Links (src, dst) of class keys: enough of them to connect all classes that links connect."""
     spark = df.sparkSession
     rows = df.select(F.col(text).alias("text"))
     order = spark.sparkContext.broadcast(_frequent(counts, frequent))
-    entries = stage(rows.mapInArrow(_prefixes(order), "token long, f long, need int"), "shingle-prefixes")
-    live = stage(entries.join(_shared(entries), "token").select("token", "leader", "f", "need"), "shingle-shared")
-    release(entries)
+    entries = stage(rows.mapInArrow(_prefixes(order), "token long, f long, need int, head boolean"), "shingle-prefixes")
+    live = entries
     for _ in range(2):  # leaving classes out can leave others without partners
-        enough = live.groupBy("f").agg(F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("f")
-        some = stage(live.drop("leader").join(enough, "f", "left_semi"), "shingle-live")
+        some = stage(live.join(_shared(live).select("token"), "token", "left_semi"), "shingle-shared")
         release(live)
-        live = stage(some.join(_shared(some), "token").select("token", "leader", "f", "need"), "shingle-live")
+        enough = some.groupBy("f").agg(F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("f")
+        live = stage(some.join(enough, "f", "left_semi"), "shingle-live")
         release(some)
-    met = stage(live.select("leader", "f").distinct(), "shingle-blocks")
+    heads = live.where("head").select("token", "f")
+    met = stage(heads.join(_shared(heads), "token").select("leader", "f").distinct(), "shingle-blocks")
     release(live)
+    # A bitmap of fixed size leaves most other texts out inside the tasks; the join leaves out the rest.
     keys = met.select("f").distinct()
-    if keys.count() <= sent_keys:
-        wanted = np.sort(keys.toPandas()["f"].to_numpy(dtype=np.int64))  # bounded by the check
-        sets = rows.mapInArrow(_full_sets(spark.sparkContext.broadcast(wanted)), "f long, tokens array<long>")
-    else:
-        sets = rows.mapInArrow(_full_sets(None), "f long, tokens array<long>").join(keys, "f", "left_semi")
-    sets = stage(sets.groupBy("f").agg(F.first("tokens").alias("tokens")), "shingle-sets")
-
+    wanted = gate(keys.select(F.col("f").alias("h")))
+    sets = sets_of(keys, rows.mapInArrow(_full_sets(wanted), "f long, tokens array<long>"), "shingle-sets")
+    wanted.unpersist()
     found = linked_in_blocks(met, sets, block)
     release(sets)
     release(met)

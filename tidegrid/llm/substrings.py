@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import ngram_join
+from tidegrid.llm.collocations import Gate, gate
 from tidegrid.llm.common import stage
 from tidegrid.llm.tokens import Piece, distinct, pieces, scramble, shingles
 
@@ -185,17 +186,15 @@ def _line_sets(sent):
     """Shingle sets of the wanted paragraphs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value if sent is not None else None
+        wanted = Gate(sent.value)
         for b in batches:
             lines = [x for t in b["text"].to_pylist() for _, x in paragraphs(t)]
             seen: set[int] = set()
             for p in pieces(pa.array(lines, pa.large_binary()).cast(pa.large_string())):
                 h, bounds = distinct(*shingles(p))
-                key = _keys(h, bounds).view(np.int64)
-                take = np.diff(p.bounds) >= LINE_WORDS
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
-                    take &= (wanted[at] == key) if len(wanted) else False
+                key = _keys(h, bounds)
+                take = (np.diff(p.bounds) >= LINE_WORDS) & wanted(key)
+                key = key.view(np.int64)
                 rows = []
                 for r in np.flatnonzero(take):
                     if key[r] not in seen:
@@ -211,19 +210,15 @@ def _line_sets(sent):
     return task
 
 
-def paragraph_links(units: DataFrame, texts: DataFrame, sent_keys: int = ngram_join.SENT_KEYS) -> DataFrame:
+def paragraph_links(units: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (src, dst) between keys of paragraphs with Jaccard similarity 0.8 or more that share a band."""
-    spark = units.sparkSession
     keyed = units.where("line and bands is not null").select("f", F.posexplode("bands").alias("band", "key"))
     ends = keyed.groupBy("band", "key").agg(F.min("f").alias("leader"), F.max("f").alias("last")).where("leader < last")
     met = stage(keyed.join(ends, ["band", "key"]).select("leader", "f").distinct(), "paragraph-blocks")
     keys = met.select("f").distinct()
-    if keys.count() <= sent_keys:
-        wanted = np.sort(keys.toPandas()["f"].to_numpy(dtype=np.int64))  # bounded by the check
-        sets = texts.mapInArrow(_line_sets(spark.sparkContext.broadcast(wanted)), "f long, tokens array<long>")
-    else:
-        sets = texts.mapInArrow(_line_sets(None), "f long, tokens array<long>").join(keys, "f", "left_semi")
-    sets = stage(sets.groupBy("f").agg(F.first("tokens").alias("tokens")), "paragraph-sets")
+    wanted = gate(keys.select(F.col("f").alias("h")))
+    sets = ngram_join.sets_of(keys, texts.mapInArrow(_line_sets(wanted), "f long, tokens array<long>"), "paragraph-sets")
+    wanted.unpersist()
     return ngram_join.linked_in_blocks(met, sets)
 
 

@@ -34,6 +34,23 @@ def test_hot_key_is_divided(spark):
     assert len(copies) <= 5  # a run of neighbours: a third of ten shards and both ends
 
 
+def test_records_that_repeat_id_and_text_are_divided(spark):
+    df = spark.range(4000).select(F.lit(5).alias("doc_id"), F.lit("same").alias("text"))
+    rows = sharding.stage(sharding.records(df), "same-records")
+    cuts = sharding.splitters(rows, 2, range_rows=250)
+    sizes = [r["count"] for r in sharding.ranged(rows, cuts).groupBy("r").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 12 and max(sizes) <= 1000
+    check(sharding.shard(df, 7).collect(), 7)
+
+
+def test_range_is_the_number_of_splitters_at_or_below(spark):
+    rows = spark.createDataFrame([(a, b, c) for a in (-1, 0, 1) for b in (0, 1) for c in (0, 1)], "h long, g long, i long")
+    every = sorted(map(tuple, rows.collect()))
+    for cuts in ([], every[3:4], every[1::2], every):
+        got = {tuple(r)[:3]: r.r for r in sharding.ranged(rows, cuts).collect()}
+        assert got == {k: sum(c <= k for c in cuts) for k in every}
+
+
 def test_reruns_agree(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a, b = (sorted(map(tuple, sharding.shard(x, 7).collect())) for x in (docs, docs.repartition(5)))

@@ -1,7 +1,7 @@
 """Shards of nearly equal size from sampled splitters. DataFrame operations only.
 
-Records are ordered by (hash of the text, hash of the id), so equal texts are neighbours and a key with
-very many copies is still divisible. A sample weighted by size gives splitters; records are
+Records are ordered by (hash of the text, hash of the id, place in the staged table), so equal texts are neighbours
+and records that repeat id and text are still divisible. The number of ranges follows the number of records. A sample weighted by size gives splitters; records are
 range-partitioned by them, ranges that turn out overfull are divided by splitters of their own, and exact
 running sums over ranges of bounded size place every record.
 
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import stage, uniform
 
 OVERHEAD = 16  # bytes that each record costs besides its text
+RANGE_ROWS = 4_000_000  # records that a range holds on average at most
+KEY = ("h", "g", "i")
+
+Cut = tuple[int, int, int]
 
 
 def records(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,47 +33,50 @@ def records(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(t).alias("h"),
         F.xxhash64(F.lit(7), F.col(id)).alias("g"),
+        F.monotonically_increasing_id().alias("i"),
     )
 
 
-def range_of(splitters: list[tuple[int, int]]) -> Column:
-    """Number of splitters at or below (h, g), as a balanced tree of comparisons."""
+def ranged(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
+    """``rows`` with ``r``: the number of splitters at or below the key, by a balanced tree of comparisons."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        a, b = splitters[mid]
-        below = (F.col("h") < a) | ((F.col("h") == a) & (F.col("g") < b))
+        a, b, c = cuts[mid]
+        h, g, i = map(F.col, KEY)
+        below = (h < a) | ((h == a) & ((g < b) | ((g == b) & (i < c))))
         return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(splitters))
+    return rows.withColumn("r", tree(0, len(cuts)))
 
 
-def _sample(rows: DataFrame, rate: Column, seed: int) -> list[tuple[int, int]]:
+def _sample(rows: DataFrame, rate: Column, seed: int) -> list[Cut]:
     """Keys of a sample that takes each record with chance ``rate``; its expected size is set by the caller."""
-    picked = rows.where(uniform("doc_id", "h", seed=seed) < rate).select("h", "g").distinct()
-    return sorted((r["h"], r["g"]) for r in picked.collect())
+    picked = rows.where(uniform("doc_id", *KEY, seed=seed) < rate).select(*KEY)
+    return sorted(tuple(r) for r in picked.collect())
 
 
-def _quantiles(keys: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+def _quantiles(keys: list[Cut], parts: int) -> list[Cut]:
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
-def splitters(rows: DataFrame, ranges: int, per_range: int = 24, rounds: int = 2) -> list[tuple[int, int]]:
+def splitters(rows: DataFrame, ranges: int, per_range: int = 24, rounds: int = 2, range_rows: int = RANGE_ROWS) -> list[Cut]:
     """Range boundaries from a weighted sample of about ``ranges * per_range`` keys.
 
-    The weight is half the share of bytes and half the share of records, so ranges are even in both.
+    There are at least ``ranges``, and one for every ``range_rows`` records. The weight is half the share of bytes and half the share of records, so ranges are even in both.
     A range of more than twice the even share is divided by a further sample of its own.
-    The sample is bounded by the parameters, not by the table.
+    The sample has a fixed number of keys per range.
     """
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     if not n:
         return []
+    ranges = max(ranges, -(-n // range_rows))
     weight = (F.col("size") / F.lit(float(total)) + F.lit(1.0 / n)) / 2
     found = _quantiles(_sample(rows, weight * (ranges * per_range), 1), ranges)
     for k in range(rounds):
-        placed = rows.withColumn("r", range_of(found))
+        placed = ranged(rows, found)
         sums = {x["r"]: x["w"] for x in placed.groupBy("r").agg(F.sum(weight).alias("w")).collect()}
         over = {r: int(w * ranges) + 1 for r, w in sums.items() if w * ranges > 2}
         if not over:
@@ -94,18 +101,18 @@ def shard(df: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text
     """
     rows = stage(records(df, id, text), "shard-records")
     cuts = splitters(rows, shards * ranges_per_shard)
-    ranged = rows.withColumn("r", range_of(cuts))
-    sums = ranged.groupBy("r").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
+    in_range = ranged(rows, cuts)
+    sums = in_range.groupBy("r").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
     # One row per range, so this window sees a bounded table.
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = sums.select(
         "r", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
         F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.sum("b").over(every).alias("total"))
-    inside = Window.partitionBy("r").orderBy("h", "g", "doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("r").orderBy(*KEY)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        ranged.withColumn("end", F.sum("size").over(upto))
+        in_range.withColumn("end", F.sum("size").over(upto))
         .withColumn("nth", F.row_number().over(inside))
         .join(F.broadcast(starts), "r")
     )

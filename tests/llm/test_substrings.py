@@ -1,4 +1,6 @@
+import glob
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -6,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import empty, odd
 from tidegrid.llm import queries, substrings, tokens
+from tidegrid.llm.common import CLEANUP, stage
+from tidegrid.session import work_root
 
 
 def words(rng, n):
@@ -151,3 +155,25 @@ def test_paragraphs_are_long_lines_and_blocks():
     assert [p for _, p in got] == [long.encode(), f"a\n{long}".encode(), long.encode(), long.encode(), raw[raw.index(b"alone"):]]
     assert all(raw[at: at + len(p)] == p for at, p in got)
     assert list(substrings.paragraphs(None)) == list(substrings.paragraphs("")) == []
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+    before, setting = files(), spark.conf.get(CLEANUP, "false")
+    staged = stage(spark.range(10000).groupBy((F.col("id") % 100).alias("k")).count(), "counted")
+    for _ in range(50):  # they are removed in the background
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(CLEANUP, "false") == setting
+    assert staged.count() == 100
+
+
+def test_units_and_sets_go_before_the_result_is_read(spark, corpus):
+    docs, _, _ = corpus
+    left = lambda: {d for name in ("passages", "passage-keys", "paragraph-bands", "paragraph-blocks", "paragraph-sets") for d in glob.glob(f"{work_root(spark)}/{name}-*")}
+    before = left()
+    got = substrings.repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert left() == before
+    assert got.count() == len(docs)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm import ngram_join
 from tidegrid.llm.collocations import Gate, gate
-from tidegrid.llm.common import stage
+from tidegrid.llm.common import release, stage
 from tidegrid.llm.tokens import Piece, distinct, pieces, scramble, shingles
 
 LINE_WORDS = 20
@@ -210,16 +210,28 @@ def _line_sets(sent):
     return task
 
 
-def paragraph_links(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (src, dst) between keys of paragraphs with Jaccard similarity 0.8 or more that share a band."""
-    keyed = units.where("line and bands is not null").select("f", F.posexplode("bands").alias("band", "key"))
-    ends = keyed.groupBy("band", "key").agg(F.min("f").alias("leader"), F.max("f").alias("last")).where("leader < last")
-    met = stage(keyed.join(ends, ["band", "key"]).select("leader", "f").distinct(), "paragraph-blocks")
+def paragraph_blocks(units: DataFrame) -> DataFrame:
+    """(leader, f): paragraphs with an equal band key go to the block of the smallest of them.
+
+    A key names its band too: the bands are hashed differently.
+    """
+    keyed = units.where("line and bands is not null").select("f", F.explode("bands").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("f").alias("leader"), F.max("f").alias("last")).where("leader < last")
+    ends = stage(ends.select("key", "leader"), "paragraph-bands")
+    met = stage(keyed.join(ends, "key").select("leader", "f").distinct(), "paragraph-blocks")
+    release(ends)
+    return met
+
+
+def paragraph_links(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (src, dst) between keys of paragraphs of one block with Jaccard similarity 0.8 or more."""
     keys = met.select("f").distinct()
     wanted = gate(keys.select(F.col("f").alias("h")))
     sets = ngram_join.sets_of(keys, texts.mapInArrow(_line_sets(wanted), "f long, tokens array<long>"), "paragraph-sets")
     wanted.unpersist()
-    return ngram_join.linked_in_blocks(met, sets)
+    found = ngram_join.linked_in_blocks(met, sets)
+    release(sets)
+    return found
 
 
 def _merge(found: pd.Series) -> pd.DataFrame:
@@ -241,18 +253,24 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: doc_id, n_words, n_spans, removed_bytes, spans ("start:end", comma-joined)."""
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     units = stage(rows.mapInArrow(_units, _UNITS), "passages")
-    whole = units.where("line is null").select("rid", "doc", F.col("words").alias("n_words"))
     spot = ["rid", "start", "end"]
+    whole = stage(units.where("line is null").select("rid", "doc", F.col("words").alias("n_words")), "passage-texts")
+    lines = stage(units.where("line").select(*spot, "doc", "f"), "passage-lines")
 
-    pieces_ = units.where("not line")
+    pieces_ = units.where("not line").select(*spot, "doc", "f")
     known = pieces_.groupBy("f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.when(F.col("doc").isNull(), F.col("rid"))).alias("loose"))
     # Where no row has an id, the first row keeps its copy; ``loose`` is the first row without an id.
     again = F.col("lo").isNull() | (F.col("lo") != F.col("hi")) | F.col("loose").isNotNull()
     other = F.when(F.col("lo").isNull(), F.col("rid") != F.col("loose")).otherwise(F.col("doc").isNull() | (F.col("doc") != F.col("lo")))
-    cut_parts = pieces_.join(known.where(again).select("f", "lo", "loose"), "f").where(other).select(*spot)
-
-    lines = units.where("line").select(*spot, "doc", "f")
-    links = paragraph_links(units, df.select(F.col(text).alias("text")))
+    known = stage(known.where(again).select("f", "lo", "loose"), "passage-keys")
+    cut_parts = stage(pieces_.join(known, "f").where(other).select(*spot), "passage-cuts")
+    release(known)
+
+    # The units go before the paragraphs' sets are moved: they take most of the disk.
+    met = paragraph_blocks(units)
+    release(units)
+    links = paragraph_links(met, df.select(F.col(text).alias("text")))
+    release(met)
     comps = ngram_join.components(links)
     classes = lines.groupBy("f").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.when(F.col("doc").isNull(), F.col("rid"))).alias("loose"))
     classes = classes.join(comps, "f", "left").withColumn("c", F.coalesce("c", "f"))

@@ -51,6 +51,15 @@ def test_range_is_the_number_of_splitters_at_or_below(spark):
         assert got == {k: sum(c <= k for c in cuts) for k in every}
 
 
+def test_plan_does_not_grow_with_the_splitters(spark, capsys):
+    rows = spark.createDataFrame([(0, 0, 0)], "h long, g long, i long")
+    plans = []
+    for n in (10, 1000):
+        sharding.ranged(rows, [(k, -k, 2**62) for k in range(n)]).explain()
+        plans.append(capsys.readouterr().out)
+    assert plans[0].count("CASE WHEN") == plans[1].count("CASE WHEN") == 1
+
+
 def test_reruns_agree(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a, b = (sorted(map(tuple, sharding.shard(x, 7).collect())) for x in (docs, docs.repartition(5)))

@@ -12,6 +12,8 @@ columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +40,20 @@ def records(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def ranged(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
-    """``rows`` with ``r``: the number of splitters at or below the key, by a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        a, b, c = cuts[mid]
-        h, g, i = map(F.col, KEY)
-        below = (h < a) | ((h == a) & ((g < b) | ((g == b) & (i < c))))
-        return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return rows.withColumn("r", tree(0, len(cuts)))
+    """``rows`` with ``r``: the number of splitters at or below the key, by binary search.
+
+    The splitters are one constant array, so the plan and its code do not grow with them.
+    """
+    if not cuts:
+        return rows.withColumn("r", F.lit(0))
+    held = F.from_json(F.lit(json.dumps([dict(zip(KEY, c)) for c in cuts])), "array<struct<h bigint, g bigint, i bigint>>")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+
+    def step(r: Column, s: Column) -> Column:
+        below = (r + s <= len(cuts)) & (F.get(held, r + s - 1) <= F.struct(*KEY))
+        return F.when(below, r + s).otherwise(r)
+
+    return rows.withColumn("r", F.aggregate(steps, F.lit(0), step))
 
 
 def _sample(rows: DataFrame, rate: Column, seed: int) -> list[Cut]:

@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegrid.session import work_dir
+from tidegrid.session import CLEANUP, release, stage  # noqa: F401  (for the operators)
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts the lineage, keeps column pruning.
-
-    The copy outlives a lost executor. Where an operator is done with it, :func:`release` deletes it; a copy
-    that a returned frame reads stays until the shared folder is emptied between jobs. The shuffle files of the
-    write go with it: nothing reads them again, and they would lie on the executors' disks until the driver
-    happens to collect its garbage.
-    """
-    conf, path = df.sparkSession.conf, work_dir(df.sparkSession, name)
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def release(staged: DataFrame) -> None:
-    """Delete the copy behind a staged frame that nothing reads any more."""
-    spark = staged.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def word_count(text: str | Column) -> Column:
     """Number of words; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text

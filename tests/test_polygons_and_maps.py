@@ -107,3 +107,19 @@ def test_shuffled_is_a_permutation_that_repeats(spark):
     assert [r["k"] for r in first] == [r["k"] for r in again] and sorted(r["k"] for r in first) == list(range(200))
     assert [r["place"] for r in first] == list(range(1, 201)) and [r["k"] for r in first] != list(range(200))
     assert [r["k"] for r in stats.shuffled(df, "k", 4).collect()] != [r["k"] for r in first]
+
+
+def test_exploded_corners_and_cells_do_not_go_to_the_driver(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "few"))
+    corners = spark.read.parquet(str(tmp_path / "few")).select(F.col("id").alias("poly"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("i")).select(
+        "poly", "i", (F.col("poly") + F.sin(F.col("i") * 0.0062)).alias("lat"), F.cos(F.col("i") * 0.0062).alias("lon"))
+    few = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(few)
+    spark.conf.set(few, "100k")
+    try:
+        ring = polygons.ring_edges(corners, "poly", ["i"])
+        got = polygons.points_in_polygons(spark.createDataFrame([(1, 3.2, 0.1)], "id int, lat double, lon double"), ring, "poly")
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r["poly"] for r in got.collect()) == [3, 4]
+    finally:
+        spark.conf.set(few, before)

@@ -19,8 +19,8 @@ def time_range_scan(df: DataFrame, start: str, end: str, ts: str, tie: str) -> D
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """One JSON object per line; nested columns are kept. One file per partition."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One JSON object per line; nested columns are kept. One compressed file per partition."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,25 @@ def test_levels_and_cycles(spark):
         graph.node_levels(nodes, loop, max_levels=5)
 
 
+def test_node_levels_keep_only_what_the_next_round_reads(spark, monkeypatch):
+    n = 12
+    nodes = spark.range(n).selectExpr("concat('n', id) as id")
+    e = nodes.sparkSession.range(n - 1).selectExpr("concat('n', id) as src", "concat('n', id + 1) as dst")
+    e = e.unionByName(e)  # parallel edges
+    kept, whole = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: kept.append((name, out := whole(df, name))) or out)
+    lv = graph.node_levels(nodes, e)
+    assert {r["node"]: r["level"] for r in lv.collect()} == {f"n{i}": i for i in range(n)}
+    left = [f for name, f in kept if name == "arcs"]
+    assert len(left) == n and not any(os.path.exists(f.staged_at) for f in left)
+
+
+def test_node_levels_with_edges_from_elsewhere(spark):
+    nodes = spark.createDataFrame([("a",), ("d",)], "id string")
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "a"), (None, "d")], "src string, dst string")
+    assert {r["node"]: r["level"] for r in graph.node_levels(nodes, e, max_levels=9).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
 def test_hull_corners(spark):
     pts = [("g", float(x), float(y)) for x in range(5) for y in range(4)] + [("h", 1.0, 1.0), ("h", 1.0, 1.0)]
     got = geo_ops.hull(spark.createDataFrame(pts, "k string, lon double, lat double"), "k").orderBy("k", "corner").collect()
@@ -194,6 +214,7 @@ def test_json_export_and_snapshot(spark, tmp_path):
     df = spark.createDataFrame(rows, "id string, created_time timestamp_ntz, user_id bigint, lat double, lon double, text string, tags array<string>, link string")
     files.export_json(df.select(files.post_to_json(df).alias("p")).select("p.*"), str(tmp_path / "j"))
     back = files.read_posts(spark, str(tmp_path / "j")).first()
+    assert {p.name.rsplit(".", 1)[1] for p in (tmp_path / "j").glob("part-*")} == {"gz"}
     assert (back["id"], back["created_time"], back["text"]) == ("1", dt.datetime(2024, 1, 1, 0, 0, 5), "a\n#b")
     files.save_snapshot(df, str(tmp_path / "s"))
     assert files.load_snapshot(spark, str(tmp_path / "s")).count() == 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.rank import running_sum
-from tidegrid.session import cut
+from tidegrid.session import cut, release, stage
 
 
 def pivot_graph(nodes: DataFrame, edges: DataFrame, keys: list[str], directed: bool = True) -> DataFrame:
@@ -84,26 +84,37 @@ def node_levels(nodes: DataFrame, edges: DataFrame, max_levels: int | None = Non
     """Level of each node: length of the longest path that ends in it. A cycle is an error.
 
     Each round moves the set of nodes that some path of the current length reaches. Without a cycle no path
-    has as many steps as there are nodes.
+    has as many steps as there are nodes. Where all edges start at nodes of the table, the sets only shrink, and edges
+    that start outside are left out of the rounds to come. Parallel edges do no harm, but are carried along.
     """
+    nodes = stage(nodes.select("id"), "nodes")
     most = max_levels or nodes.count()
-    arcs = cut(edges.select("src", "dst").distinct())
+    arcs = stage(edges.select("src", "dst").where("src is not null"), "arcs")
+    senders = stage(arcs.select(F.col("src").alias("node"), F.lit(True).alias("_sends")).distinct(), "senders") if sinks_right else None
+    closed = arcs.join(nodes, F.col("src") == F.col("id"), "left_anti").isEmpty()
     levels = nodes.select(F.col("id").alias("node"), F.lit(0).cast("bigint").alias("level"))
     front = nodes.select(F.col("id").alias("node"))
     found = [levels]
     for k in range(1, most + 1):
-        front = cut(front.join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
+        moved = arcs
+        if k > 1 or not closed:
+            moved = arcs.join(front, F.col("node") == F.col("src"), "left_semi")
+        if k > 1 and closed:
+            moved = stage(moved, "arcs")
+            release(arcs)
+            arcs = moved
+        front = stage(moved.select(F.col("dst").alias("node")).distinct(), "front")
         if front.isEmpty():
             break
         found.append(front.select("node", F.lit(k).cast("bigint").alias("level")))
     else:
         raise ValueError("the graph has a cycle")
+    release(arcs)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     out = out.groupBy("node").agg(F.max("level").alias("level"))
     if sinks_right:
-        senders = arcs.select(F.col("src").alias("node"), F.lit(True).alias("_sends")).distinct()
         last = out.agg(F.max("level").alias("_last"))
         out = out.join(senders, "node", "left").join(F.broadcast(last)).select(
             "node", F.when(F.col("_sends"), F.col("level")).otherwise(F.col("_last")).alias("level"))

@@ -6,6 +6,7 @@ from tidegrid.functions import timeops
 from tidegrid.operators import graph
 from tidegrid.operators.rank import previous
 from tidegrid.plans.registry import query
+from tidegrid.session import stage
 from tidegrid.sources.tables import table
 
 FLOWS = """flows as (select c_nationkey as src, s_nationkey as dst, l_quantity as value, o_orderdate, l_orderkey, l_linenumber, l_suppkey
@@ -70,14 +71,16 @@ LEVEL_EDGES = """
 
 
 def level_edges(spark, d):
-    def key(letter, c):
-        return F.concat(F.lit(letter), F.col(c).cast("string"))
-
-    n = table(spark, d, "nation").select(key("R", "n_regionkey").alias("src"), key("N", "n_nationkey").alias("dst"))
-    c = table(spark, d, "customer").select(key("N", "c_nationkey"), key("C", "c_custkey"))
-    s = table(spark, d, "supplier").select(key("N", "s_nationkey"), key("S", "s_suppkey"))
-    t = trades(spark, d).select(key("C", "o_custkey"), key("S", "l_suppkey")).distinct()
-    p = table(spark, d, "lineitem").select(key("S", "l_suppkey"), key("P", "l_partkey")).distinct()
+    """Distinct edges; numbers are told apart before they become text."""
+    def edges(df, a, src, b, dst):
+        found = stage(df.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct(), "edges")
+        return found.select(F.concat(F.lit(a), F.col("s").cast("string")).alias("src"), F.concat(F.lit(b), F.col("d").cast("string")).alias("dst"))
+
+    n = edges(table(spark, d, "nation"), "R", "n_regionkey", "N", "n_nationkey")
+    c = edges(table(spark, d, "customer"), "N", "c_nationkey", "C", "c_custkey")
+    s = edges(table(spark, d, "supplier"), "N", "s_nationkey", "S", "s_suppkey")
+    t = edges(trades(spark, d), "C", "o_custkey", "S", "l_suppkey")
+    p = edges(table(spark, d, "lineitem"), "S", "l_suppkey", "P", "l_partkey")
     return n.union(c).union(s).union(t).union(p)
 
 

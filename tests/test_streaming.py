@@ -98,6 +98,25 @@ def test_stream_detector_equals_batch(spark, base, tmp_path):
     assert batch.count() > 0
 
 
+def test_stream_detector_asks_for_the_texts_of_clusters_only(spark, base, tmp_path):
+    asked = []
+
+    def captions(rows):
+        asked.append(rows.count())
+        return rows.join(texts, "no").select("id", "text")
+
+    numbered = base.withColumn("no", F.xxhash64("id"))
+    texts = numbered.select("no", "text")
+    d = WindowDetector(spark, 400, 100, P, columns="no bigint", captions=captions)
+    found = d.run(in_slices(numbered.drop("text"), str(tmp_path / "d"), 2))
+    batch = detect.event_summary(detect.detect_events(base, 400, 100, P), base, ["win"])
+    cols = ["win", "cl", "posts", "lat", "lon", "hashtags"]
+    key = lambda r: (r["win"], r["cl"])
+    assert sorted(found.select(*cols).collect(), key=key) == sorted(batch.select(*cols).collect(), key=key)
+    members = detect.detect_events(base, 400, 100, P).where("cl <> 0").select("id").distinct().count()
+    assert 0 < max(asked) <= members < base.count()
+
+
 def test_repeated_batch_leaves_the_log_unchanged(spark, base):
     d = WindowDetector(spark, 400, 100, P)
     first, second = base.where("cast(id as int) < 500"), base.where("cast(id as int) >= 500")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.text import hashtags
@@ -35,6 +35,10 @@ def place(events: DataFrame) -> DataFrame:
     )
 
 
+def _text() -> Column:
+    return F.concat(F.lit("#"), "event_type", F.lit(" "), "doc_text", F.lit(" #K"), F.get_json_object("props", "$.k"))
+
+
 def caption(placed: DataFrame, documents: DataFrame) -> DataFrame:
     """Add the whole text of one document to each placed event.
 
@@ -42,16 +46,26 @@ def caption(placed: DataFrame, documents: DataFrame) -> DataFrame:
     number, so no document is joined much more often than another.
     """
     n_docs = documents.count()
-    text = F.concat(
-        F.lit("#"), "event_type", F.lit(" "), "doc_text", F.lit(" #K"), F.get_json_object("props", "$.k")
-    )
     return (
         placed.withColumn("doc_id", F.col("event_id") % F.lit(n_docs))
         .join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-        .select("id", "scrape", "created_time", "user_id", "lat", "lon", text.alias("text"))
+        .select("id", "scrape", "created_time", "user_id", "lat", "lon", _text().alias("text"))
     )
 
 
+def refer(placed: DataFrame, documents: DataFrame) -> DataFrame:
+    """The rows of :func:`caption` with a reference to their text in place of it: doc_id and doc_hash."""
+    n_docs = documents.count()
+    return placed.withColumn("doc_id", F.col("event_id") % F.lit(n_docs)).join(
+        documents.select("doc_id", F.xxhash64("text").alias("doc_hash")), "doc_id")
+
+
+def resolve(referred: DataFrame, documents: DataFrame) -> DataFrame:
+    """The text that :func:`caption` gives to rows with references, one row for each: id, text."""
+    one = documents.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.col("text").alias("doc_text")).dropDuplicates(["doc_id", "doc_hash"])
+    return referred.join(one, ["doc_id", "doc_hash"]).select("id", _text().alias("text"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts without text: id, scrape, created_time, user_id, lat, lon."""
     return place(table(spark, sf_dir, "events")).drop("event_id", "event_type", "props")

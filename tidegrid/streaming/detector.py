@@ -9,6 +9,8 @@ arrivals, events and offsets lie below one folder: with the same folder a new qu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,11 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegrid.operators import detect
 from tidegrid.operators.rank import numbered
 from tidegrid.schema import HOP_ROWS, STREAM_DETECTOR, WINDOW_ROWS, Detector
-from tidegrid.session import work_dir
+from tidegrid.session import release, stage, work_dir
 from tidegrid.streaming.state import Carried, delete, matching, read_batches
 from tidegrid.streaming.upsert import run_batches, start_batches
 
-_LOG = "id string, created_time timestamp_ntz, lat double, lon double, text string, seq bigint"
+_POST = ["id", "created_time", "lat", "lon"]
 _EVENTS = (
     "win bigint, cl bigint, posts bigint, hashtags array<struct<tag:string,n:bigint>>, "
     "lat struct<min:double,max:double>, lon struct<min:double,max:double>"
@@ -28,11 +30,18 @@ _EVENTS = (
 
 
 class WindowDetector:
-    """Feeds micro-batches into the detector: use :meth:`process` with ``foreachBatch``."""
+    """Feeds micro-batches into the detector: use :meth:`process` with ``foreachBatch``.
+
+    Posts carry their text, or the columns from which ``captions`` finds it: given rows of them, it returns id and text
+    of each. Texts are only asked for, and only moved, for posts of clusters.
+    """
 
     def __init__(self, spark: SparkSession, size: int = WINDOW_ROWS, hop: int = HOP_ROWS, p: Detector = STREAM_DETECTOR,
-                 root: str | None = None):
+                 root: str | None = None, columns: str = "text string", captions: Callable[[DataFrame], DataFrame] | None = None):
         self.size, self.hop, self.p = size, hop, p
+        self.schema = f"id string, created_time timestamp_ntz, lat double, lon double, {columns}, seq bigint"
+        self.columns = [c.strip().split(" ")[0] for c in columns.split(",")]
+        self.captions = captions or (lambda rows: rows.select("id", "text"))
         self.root = root or work_dir(spark, "detector")
         self.log, self.out = f"{self.root}/arrivals", f"{self.root}/events"
         self.totals = Carried(spark, f"{self.root}/totals", "total bigint")
@@ -50,7 +59,7 @@ class WindowDetector:
         spark = df.sparkSession
         before = self.totals.before(batch).first()
         seen = before["total"] if before else 0
-        new = numbered(df.select("id", "created_time", "lat", "lon", "text"), ["created_time", "id"], name="seq")
+        new = numbered(df.select(*_POST, *self.columns), ["created_time", "id"], name="seq")
         total = seen + new.count()
         delete(spark, f"{self.log}/batch={batch}")
         if total > seen:
@@ -72,15 +81,20 @@ class WindowDetector:
             return
         low, high = first * self.hop - self.size, last * self.hop
         paths = [p for a, b, p in self._logged(spark, batch) if b > low and a <= high]
-        rows = spark.read.schema(_LOG).parquet(*paths).where((F.col("seq") > low) & (F.col("seq") <= high))
+        rows = spark.read.schema(self.schema).parquet(*paths).where((F.col("seq") > low) & (F.col("seq") <= high))
         a = F.greatest(F.ceil(F.col("seq") / F.lit(self.hop)).cast("bigint"), F.lit(first))
         b = F.least(F.ceil(F.col("seq") / F.lit(self.hop)).cast("bigint") + (self.size // self.hop - 1), F.lit(last))
         windows = rows.withColumn("win", F.explode(F.sequence(a, b))).withColumn(
             "pos", F.col("seq") - (F.col("win") * self.hop - self.size)
         )
-        found = detect.detect_in_windows(windows.drop("text"), self.size, self.p)
-        events = detect.event_summary(found, rows.select("id", "text"), ["win"])
+        found = stage(detect.detect_in_windows(windows.drop(*self.columns), self.size, self.p).where("cl <> 0"), "found")
+        told = rows.join(found.select("id").distinct(), "id", "left_semi")
+        events = detect.event_summary(found, self.captions(told), ["win"])
+        # Its shuffle files, with the texts of clustered posts, go with the staged copy of a few rows per window.
+        events = stage(events, "events")
         events.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
+        release(events)
+        release(found)
 
     def start(self, posts: DataFrame, every: str) -> StreamingQuery:
         return start_batches(posts, "detector", self.process, offsets=f"{self.root}/offsets", every=every)
